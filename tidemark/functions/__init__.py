@@ -11,8 +11,8 @@ from tidemark.functions.records import (
     may_be_purchase_intent,
     user_key,
 )
-from tidemark.functions.rounding import round_nearest
-from tidemark.functions.usage import memory_mb, millicores, pod_memory_mib, percent
+from tidemark.functions.rounding import round_columns, round_nearest
+from tidemark.functions.usage import millicores, percent, pod_memory_mib, used_mb, used_number
 
 __all__ = [
     "amount_with_tax",
@@ -24,11 +24,13 @@ __all__ = [
     "fixture_recv_ts",
     "is_purchase_intent",
     "may_be_purchase_intent",
-    "memory_mb",
     "millicores",
     "percent",
     "pod_memory_mib",
+    "round_columns",
     "round_nearest",
+    "used_mb",
+    "used_number",
     "user_key",
     "wall_clock",
 ]

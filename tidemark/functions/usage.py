@@ -13,15 +13,19 @@ def percent(text: Column) -> Column:
     return F.regexp_replace(text, "%", "").try_cast("double")
 
 
-def memory_mb(text: Column) -> Column:
-    """Used part of ``123.4MiB / 2GiB`` in MB; a bare number is taken as it is."""
+def used_number(text: Column) -> Column:
+    """The number of the used part of ``123.4MiB / 2GiB``."""
+    return F.regexp_replace(F.split(text, " /")[0], "[^0-9.]", "").try_cast("double")
+
+
+def used_mb(text: Column, number: str) -> Column:
+    """The used part in MB; ``number`` names the column of its number. No unit is taken as MB."""
     used = F.split(text, " /")[0]
-    number = F.regexp_replace(used, "[^0-9.]", "").try_cast("double")
     return (
-        F.when(used.contains("GiB"), round_nearest(number * 1024, 1))
-        .when(used.contains("MiB"), number)
-        .when(used.contains("KiB"), round_nearest(number / 1024, 3))
-        .otherwise(number)
+        F.when(used.contains("GiB"), round_nearest(f"{number} * 1024", 1))
+        .when(used.contains("MiB"), F.col(number))
+        .when(used.contains("KiB"), round_nearest(f"{number} / 1024", 3))
+        .otherwise(F.col(number))
     )
 
 

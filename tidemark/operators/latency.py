@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.cluster import join_small, settle, stable
 from tidemark.contract import OUTPUT_TOPIC, QUANTILES
 from tidemark.functions.clock import wall_clock
-from tidemark.functions.rounding import round_nearest
+from tidemark.functions.rounding import round_columns
 from tidemark.operators.quantiles import exact_quantiles
 
 LATENCIES = ("pipeline_ms", "e2e_ms")
@@ -79,10 +79,19 @@ def drop_warmup(df: DataFrame, warmup_s: float, seconds: float, start: float | N
     return tag_phase(df, warmup_s, seconds, start, by).filter("kept").drop("kept")
 
 
+def unpivot_latencies(df: DataFrame, by: Sequence[str] = ("engine",)) -> DataFrame:
+    """One row per record and latency: ``metric`` (its column name) and ``ms``.
+
+    Both latencies are then summarised in the same passes, as groups of their own.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("ms")) for c in LATENCIES])
+    return df.select(*by, F.inline(pairs))
+
+
 def _report(stats: DataFrame, by: list[str]) -> DataFrame:
-    figures = [round_nearest(F.col("q")[i], 3).alias(name) for i, (name, _) in enumerate(QUANTILES)]
-    return stats.select(*by, F.col("count"), *figures, round_nearest(F.col("max"), 3).alias("max"),
-                        round_nearest(F.col("mean"), 3).alias("mean"))
+    names = [name for name, _ in QUANTILES]
+    figures = stats.select(*by, "count", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max", "mean")
+    return round_columns(figures, dict.fromkeys([*names, "max", "mean"], 3))
 
 
 def _buffered(df: DataFrame, col: str, by: list[str]) -> DataFrame:
@@ -137,10 +146,9 @@ def throughput(df: DataFrame, seconds: float, warmup_s: float, by: Sequence[str]
     ``df`` carries the boolean ``kept`` of ``tag_phase``.
     """
     window = max(1e-9, float(seconds) - float(warmup_s))
-    return df.groupBy(*by).agg(
-        F.count_if(F.col("kept")).alias("kept_records"),
-        F.count("*").alias("seen_records"),
-    ).withColumn("throughput_eps", round_nearest(F.col("kept_records") / F.lit(window), 1))
+    counts = df.groupBy(*by).agg(F.count_if(F.col("kept")).alias("kept_records"), F.count("*").alias("seen_records"))
+    return round_columns(counts.withColumn("throughput_eps", F.col("kept_records") / F.lit(window)),
+                         {"throughput_eps": 1})
 
 
 def run_summary(df: DataFrame, seconds: float, warmup_s: float, topic: str = OUTPUT_TOPIC, by: str = "engine",
@@ -151,14 +159,12 @@ def run_summary(df: DataFrame, seconds: float, warmup_s: float, topic: str = OUT
     of ``df`` a few times: give it a written table (see ``latency_sink``) rather than
     undecoded records when there are many.
     """
-    both = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("ms"))
-                              for c in LATENCIES]))
     records = stable(df.select(by, "recv_ts", *LATENCIES), "run-records")
     tagged = tag_phase(records, warmup_s, seconds, start, [by])
     counts = settle(throughput(tagged, seconds, warmup_s, [by]))
     largest = counts.agg(F.max("kept_records")).first()[0] or 0
-    figures = _percentiles_by_size(tagged.filter("kept").select(by, both), "ms", [by, "metric"], largest,
-                                   BUFFERED_ROW_LIMIT)
+    kept = unpivot_latencies(tagged.filter("kept"), [by])
+    figures = _percentiles_by_size(kept, "ms", [by, "metric"], largest, BUFFERED_ROW_LIMIT)
     stats = F.struct("count", *[name for name, _ in QUANTILES], "max", "mean")
     # One row per run on every side from here on.
     nested = figures.groupBy(by).agg(*[F.any_value(F.when(F.col("metric") == c, stats), True).alias(c)

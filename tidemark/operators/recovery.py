@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.cluster import join_small, settle, stable
-from tidemark.functions.rounding import round_nearest
+from tidemark.functions.rounding import round_columns
 
 # Buckets one task orders when it looks for gaps.
 GAP_BUCKETS = 65_536
@@ -82,12 +82,13 @@ def duplicate_records(df: DataFrame, by: Sequence[str] = ("engine",), key: str |
     """Per run: surplus records, ids that have them, and their share of all records in percent."""
     by, key = list(by), [key] if isinstance(key, str) else list(key)
     surplus = F.sum(F.col("copies") - 1)
-    return _per_id(df, by, key).groupBy(*by).agg(
+    counts = _per_id(df, by, key).groupBy(*by).agg(
         F.sum("copies").alias("total_records"),
         surplus.alias("duplicate_records"),
         F.count_if(F.col("copies") > 1).alias("duplicated_ids"),
-        round_nearest(surplus * F.lit(100.0) / F.sum("copies"), 3).alias("duplicate_rate_pct"),
+        (surplus * F.lit(100.0) / F.sum("copies")).alias("duplicate_rate_pct"),
     )
+    return round_columns(counts, {"duplicate_rate_pct": 3})
 
 
 def duplicates_by_producer(df: DataFrame, by: Sequence[str] = ("engine",)) -> DataFrame:

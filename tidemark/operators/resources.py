@@ -19,26 +19,31 @@ from tidemark.contract import (
 )
 from tidemark.functions import records as R
 from tidemark.functions import usage as U
-from tidemark.functions.rounding import round_nearest
+from tidemark.functions.rounding import round_columns
+
+# Decimals of mean and peak usage in reports.
+USAGE_DIGITS = {"mean_cpu_cores": 2, "peak_cpu_cores": 2, "mean_mem_mb": 0, "peak_mem_mb": 0}
 
 
 def normalise_usage(df: DataFrame) -> DataFrame:
     """Sampler text columns ``cpu``, ``mem`` and, if present, ``mem_share`` to numbers."""
-    out = df.withColumns({"cpu_pct": U.percent(F.col("cpu")), "mem_used_mb": U.memory_mb(F.col("mem"))})
+    out = df.withColumns({"cpu_pct": U.percent(F.col("cpu")), "__used": U.used_number(F.col("mem"))})
+    out = out.withColumn("mem_used_mb", U.used_mb(F.col("mem"), "__used"))
     if "mem_share" in df.columns:
         out = out.withColumn("mem_pct", U.percent(F.col("mem_share")))
-    return out.drop("cpu", "mem", "mem_share")
+    return out.drop("cpu", "mem", "mem_share", "__used")
 
 
 def container_usage(stats: DataFrame) -> DataFrame:
     """Per engine and container: mean and peak cores and memory, rounded for the report."""
     cores = F.col("cpu_pct") / F.lit(100.0)
-    return stats.groupBy("engine", "container").agg(
-        round_nearest(F.avg(cores), 2).alias("mean_cpu_cores"),
-        round_nearest(F.max(cores), 2).alias("peak_cpu_cores"),
-        round_nearest(F.avg("mem_used_mb"), 0).alias("mean_mem_mb"),
-        round_nearest(F.max("mem_used_mb"), 0).alias("peak_mem_mb"),
+    usage = stats.groupBy("engine", "container").agg(
+        F.avg(cores).alias("mean_cpu_cores"),
+        F.max(cores).alias("peak_cpu_cores"),
+        F.avg("mem_used_mb").alias("mean_mem_mb"),
+        F.max("mem_used_mb").alias("peak_mem_mb"),
     )
+    return round_columns(usage, USAGE_DIGITS)
 
 
 def _contains_any(column: str, parts: Sequence[str]) -> Column:
@@ -56,12 +61,13 @@ def engine_usage_totals(usage: DataFrame, exclude: Sequence[str] = SHARED_CONTAI
     def total(column: str) -> Column:
         return F.sum(F.when(own, F.col(column)).otherwise(0.0))
 
-    return usage.groupBy("engine").agg(
-        round_nearest(total("mean_cpu_cores"), 2).alias("cpu_mean"),
-        round_nearest(total("peak_cpu_cores"), 2).alias("cpu_peak"),
-        round_nearest(total("mean_mem_mb"), 0).alias("mem_mean"),
-        round_nearest(total("peak_mem_mb"), 0).alias("mem_peak"),
+    totals = usage.groupBy("engine").agg(
+        total("mean_cpu_cores").alias("cpu_mean"),
+        total("peak_cpu_cores").alias("cpu_peak"),
+        total("mean_mem_mb").alias("mem_mean"),
+        total("peak_mem_mb").alias("mem_peak"),
     )
+    return round_columns(totals, {"cpu_mean": 2, "cpu_peak": 2, "mem_mean": 0, "mem_peak": 0})
 
 
 def _pod_totals(samples: DataFrame, patterns: Sequence[str], namespaces: Sequence[str]) -> DataFrame:
@@ -78,13 +84,15 @@ def pod_usage(samples: DataFrame, patterns: Sequence[str] = POD_PATTERNS,
     The peak is a peak of sums, unlike ``engine_usage_totals``. Labels without a matching
     pod have no row.
     """
-    return _pod_totals(samples, patterns, namespaces).groupBy("label").agg(
+    usage = _pod_totals(samples, patterns, namespaces).groupBy("label").agg(
         F.count("*").alias("samples"),
-        round_nearest(F.avg("cores"), 2).alias("mean_cpu_cores"),
-        round_nearest(F.max("cores"), 2).alias("peak_cpu_cores"),
-        round_nearest(F.avg("mib"), 0).cast("bigint").alias("mean_mem_mb"),
-        round_nearest(F.max("mib"), 0).cast("bigint").alias("peak_mem_mb"),
+        F.avg("cores").alias("mean_cpu_cores"),
+        F.max("cores").alias("peak_cpu_cores"),
+        F.avg("mib").alias("mean_mem_mb"),
+        F.max("mib").alias("peak_mem_mb"),
     )
+    whole = {c: F.col(c).cast("bigint") for c in ("mean_mem_mb", "peak_mem_mb")}
+    return round_columns(usage, USAGE_DIGITS).withColumns(whole)
 
 
 def pod_usage_full_match(samples: DataFrame, patterns: Sequence[str] = POD_PATTERNS_FULL,
@@ -138,16 +146,15 @@ def topic_backlog(samples: DataFrame, filter_pass: float = FILTER_PASS) -> DataF
     seconds = F.col("z.ts") - F.col("a.ts")
     span = F.when(seconds == 0, F.lit(1)).otherwise(seconds)
 
-    def whole(value: Column) -> Column:
-        return round_nearest(value, 0).cast("bigint")
-
-    return facts.filter("samples >= 2").select(
-        "label",
-        whole(backlog("top")).alias("max_backlog"),
-        whole(backlog("z")).alias("final_backlog"),
-        whole((F.col("z.in_end") - F.col("a.in_end")) / span).alias("in_rate"),
-        whole((F.col("z.out_end") - F.col("a.out_end")) / span).alias("out_rate"),
-    )
+    figures = {
+        "max_backlog": backlog("top"),
+        "final_backlog": backlog("z"),
+        "in_rate": (F.col("z.in_end") - F.col("a.in_end")) / span,
+        "out_rate": (F.col("z.out_end") - F.col("a.out_end")) / span,
+    }
+    exact = facts.filter("samples >= 2").select("label", *[c.alias(name) for name, c in figures.items()])
+    whole = {name: F.col(name).cast("bigint") for name in figures}
+    return round_columns(exact, dict.fromkeys(figures, 0)).withColumns(whole)
 
 
 def filter_pass_rate(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:

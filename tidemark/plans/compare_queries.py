@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.rounding import round_nearest
+from tidemark.functions.rounding import round_columns
 from tidemark.operators import compare, resources
 from tidemark.operators.latency import flatten_summary
 from tidemark.plans import resource_queries as Q
@@ -55,8 +55,7 @@ def _daily_runs(spark: SparkSession, sf: str) -> DataFrame:
 def data_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Figures to six decimals."""
     sweep = compare.data_rate_sweep(_daily_runs(spark, sf), ["pipeline_max", "e2e_max"])
-    return sweep.withColumns({c: round_nearest(F.col(c), 6)
-                              for c in ("event_rate", "mb_per_s", "pipeline_max", "e2e_max")})
+    return round_columns(sweep, dict.fromkeys(("event_rate", "mb_per_s", "pipeline_max", "e2e_max"), 6))
 
 
 def label_listing(spark: SparkSession, sf: str) -> DataFrame:

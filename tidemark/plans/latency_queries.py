@@ -29,24 +29,22 @@ def drop_warmup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("engine", "event_id", "recv_ts", "pipeline_ms", "e2e_ms")
 
 
-def _both(spark: SparkSession, sf: str, figures) -> DataFrame:
-    records = B.latency_records(spark, sf)
-    parts = [figures(records, c).withColumn("metric", F.lit(c)) for c in LATENCIES]
-    return parts[0].unionByName(parts[1])
+def _latencies(spark: SparkSession, sf: str) -> DataFrame:
+    return latency.unpivot_latencies(B.latency_records(spark, sf))
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _both(spark, sf, latency.latency_percentiles)
+    return latency.latency_percentiles(_latencies(spark, sf), "ms", ["engine", "metric"])
 
 
 def latency_percentiles_scalable(spark: SparkSession, sf: str) -> DataFrame:
     """The bucketed method, whatever the size."""
-    return _both(spark, sf, latency.latency_percentiles_scalable)
+    return latency.latency_percentiles_scalable(_latencies(spark, sf), "ms", ["engine", "metric"])
 
 
 def latency_percentiles_approx(spark: SparkSession, sf: str) -> DataFrame:
     """``percentile_approx``: no SQL counterpart with the same sketch."""
-    return _both(spark, sf, lambda df, c: latency.latency_percentiles_scalable(df, c, method="approx"))
+    return latency.latency_percentiles_scalable(_latencies(spark, sf), "ms", ["engine", "metric"], method="approx")
 
 
 def throughput(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.functions.rounding import round_nearest
+from tidemark.functions.rounding import round_columns
 from tidemark.operators import latency, resources
 from tidemark.plans import testbed as B
 from tidemark.plans.latency_queries import SECONDS, WARMUP
@@ -46,8 +45,7 @@ def pod_usage(spark: SparkSession, sf: str) -> DataFrame:
 def pod_usage_full_match(spark: SparkSession, sf: str) -> DataFrame:
     """All executor name patterns; figures to six decimals."""
     usage = resources.pod_usage_full_match(pod_samples_source(spark, sf))
-    figures = ("mean_cpu", "peak_cpu", "mean_mem_gb", "peak_mem_gb")
-    return usage.withColumns({c: round_nearest(F.col(c), 6) for c in figures})
+    return round_columns(usage, dict.fromkeys(("mean_cpu", "peak_cpu", "mean_mem_gb", "peak_mem_gb"), 6))
 
 
 def labelled_summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +62,7 @@ def topic_backlog(spark: SparkSession, sf: str) -> DataFrame:
 
 def filter_pass_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Pass rate per country."""
-    rates = resources.filter_pass_rate(B.events(spark, sf), ["country"])
-    return rates.withColumn("pass_rate", round_nearest(F.col("pass_rate"), 6))
+    return round_columns(resources.filter_pass_rate(B.events(spark, sf), ["country"]), {"pass_rate": 6})
 
 
 QUERIES = {

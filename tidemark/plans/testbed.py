@@ -18,6 +18,8 @@ from tidemark.operators.latency import record_latency
 
 # --- input events --------------------------------------------------------------------
 
+EVENTS_TABLE = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
 # The table spreads its events over a month. Divided by this, their times make a run of
 # three quarters of an hour, in which a rate per second means something.
 PACE = 1000
@@ -49,7 +51,7 @@ def fixed(expression: str, digits: int) -> str:
 
 def events(spark: SparkSession, sf_dir: str, pace: int = 1) -> DataFrame:
     """The table in the shape of the input contract."""
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spark.read.schema(EVENTS_TABLE).parquet(f"{sf_dir}/events.parquet")
     country = F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), (F.col("user_id") % 8 + 1).cast("int"))
     return table.select(
         "event_id", "user_id",

@@ -117,7 +117,7 @@ def replay_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def synthetic_events(spark: SparkSession, sf: str) -> DataFrame:
     """One synthetic event per row of the events table, from two producers: no SQL counterpart."""
-    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id")
+    ids = spark.read.schema(B.EVENTS_TABLE).parquet(f"{sf}/events.parquet").select("event_id")
     return generate.events_from_ids(ids, "event_id", seed=42, producers=2)
 
 

@@ -42,7 +42,7 @@ def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine",
     never one task. CSV has fixed decimals, Parquet keeps the doubles.
     """
     if fmt == "csv":
-        fixed = [round_nearest(F.col(c), _DECIMALS[c]).cast(f"decimal(22,{_DECIMALS[c]})").alias(c)
+        fixed = [round_nearest(c, _DECIMALS[c]).cast(f"decimal(22,{_DECIMALS[c]})").alias(c)
                  if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS]
         df = df.select(by, *fixed)
     else:
