@@ -1,0 +1,179 @@
+"""Edge rows of the transform under every decode policy."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.contract import OUTPUT_EVENT
+from tidemark.functions import decode, may_be_purchase_intent
+from tidemark.operators import transform as T
+
+GOOD = '{"event_id":1,"user_id":42,"event_type":"purchase","country":"es","amount":219.99,"ts":1750684800.123456}'
+
+
+def raw(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
+def kept(spark, *values, **options):
+    return T.transform_decoded(raw(spark, *values), F.lit(5.0), **options).collect()
+
+
+def event(**fields):
+    import json
+
+    base = {"event_id": 1, "user_id": 42, "event_type": "purchase", "country": "es", "amount": 10.0, "ts": 1.5}
+    base.update(fields)
+    return json.dumps({k: v for k, v in base.items() if v is not ...})
+
+
+def test_contract_example(spark):
+    row = kept(spark, GOOD)[0].asDict()
+    assert row == {"event_id": 1, "user_id": 42, "event_type": "purchase", "country": "ES", "amount": 219.99,
+                   "amount_with_tax": 266.19, "ts": 1750684800.123456, "out_ts": 5.0}
+
+
+@pytest.mark.parametrize("value", ["not json", "", "[]", None, "null", "5", '{"amount":5', event(amount=...),
+                                   event(amount=None), event(amount=0.0), event(amount=-1.0), event(amount="219.99"),
+                                   event(event_type="Purchase"), event(event_type="click"), event(event_type=None)])
+def test_dropped(spark, value):
+    assert kept(spark, value) == []
+
+
+@pytest.mark.parametrize("value", [event(), event(event_type="add_to_cart"), event(pad="x" * 100), event(country=None),
+                                   event(user_id=None), event() + " trailing", event().replace("purchase", "pur\\u0063hase"),
+                                   event(event_id=1.0)])
+def test_kept(spark, value):
+    assert len(kept(spark, value)) == 1
+
+
+def test_coerced_numbers(spark):
+    row = kept(spark, event(amount="219.99", event_id=1.0, user_id="7"), coerce=True)[0]
+    assert (row.amount, row.event_id, row.user_id) == (219.99, 1, 7)
+    big = kept(spark, event(event_id=9007199254740993), coerce=True)[0]
+    assert big.event_id == 9007199254740993
+    assert kept(spark, event(amount="ten"), coerce=True) == []
+
+
+def test_type_mismatch_is_null_unless_coerced(spark):
+    assert kept(spark, event(event_id=1.0))[0].event_id is None
+
+
+def test_missing_policy(spark):
+    row = kept(spark, event(country=..., user_id=..., ts=None), missing="default")[0]
+    assert (row.country, row.user_id, row.ts) == ("", 0, 0.0)
+    assert kept(spark, event(amount=...), missing="default") == []
+    keyed = T.transform_events(raw(spark, event(user_id=...)), F.lit(1.0), missing="default").collect()[0]
+    assert keyed.key == "0"
+
+
+def test_fail_policy_raises_on_a_bad_record(spark):
+    bad = T.transform_events(raw(spark, GOOD, "not json"), on_error="fail")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        bad.collect()
+    assert len(kept(spark, GOOD, on_error="fail")) == 1
+
+
+@pytest.mark.parametrize("option", [{"on_error": "x"}, {"missing": "x"}, {"rounding": "x"}, {"key_format": "x"}])
+def test_unknown_options_are_refused(spark, option):
+    with pytest.raises(ValueError):
+        T.transform_events(raw(spark, GOOD), **option)
+
+
+def test_rejects_side_output(spark):
+    values = ["not json", "", None, "[]", event(amount="1"), event(), event() + " trailing", "{}"]
+    got = sorted((r.reason, r.value) for r in T.rejects(raw(spark, *values)).collect() if r.value is not None)
+    assert got == sorted([("undecodable", "not json"), ("blank", ""), ("undecodable", "[]"), ("undecodable", event(amount="1"))])
+    assert T.rejects(raw(spark, *values)).filter("reason = 'null'").count() == 1
+
+
+def test_keys_and_json(spark):
+    both = raw(spark, event(), event(user_id=None, country=None))
+    text = T.transform_events(both, F.lit(1.0)).collect()
+    assert [r.key for r in text] == ["42", None]
+    assert "country" not in text[1].value and "user_id" not in text[1].value
+    nulls = T.transform_events(both, F.lit(1.0), keep_nulls=True, key_format="json").collect()
+    assert '"country":null' in nulls[1].value
+    assert [r.key for r in nulls] == ['{"user_id":42}', '{"user_id":null}']
+
+
+def test_output_field_order(spark):
+    value = T.transform_events(raw(spark, GOOD), F.lit(1.0)).collect()[0].value
+    positions = [value.index(f'"{n}"') for n in OUTPUT_EVENT.fieldNames()]
+    assert positions == sorted(positions)
+
+
+def test_binary_values(spark):
+    binary = raw(spark, GOOD).select(F.col("value").cast("binary").alias("value"))
+    assert T.transform_decoded(binary, F.lit(5.0)).count() == 1
+
+
+def test_prefilter_loses_no_passing_record(spark):
+    values = [event(), event(event_type="add_to_cart"), event().replace("purchase", "\\u0070urchase"),
+              event().replace("add", "add"), GOOD + "junk", event(event_type="click", country="purchase")]
+    df = raw(spark, *values)
+    plain = T.filter_purchase_intent(T.decode_events(df))
+    fast = T.transform_decoded(df, F.lit(0.0))
+    assert plain.count() == fast.count()
+    assert df.filter(may_be_purchase_intent()).count() == len(values)
+
+
+def test_fused_and_stepwise_transforms_agree(spark):
+    df = raw(spark, GOOD, event(), event(amount=33.5), event(event_type="view"), "junk")
+    steps = T.enrich(T.filter_purchase_intent(T.decode_events(df)), F.lit(3.0))
+    fused = T.transform_decoded(df, F.lit(3.0))
+    assert sorted(map(tuple, steps.collect())) == sorted(map(tuple, fused.collect()))
+    text = T.transform_events(df, F.lit(3.0)).select(decode("value", OUTPUT_EVENT).alias("e")).select("e.*")
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, fused.collect()))
+
+
+def test_sql_text_agrees(spark):
+    df = raw(spark, GOOD, event(amount=18.5), event(event_type="view"), event().replace("purchase", "\\u0070urchase"), "")
+    df.createOrReplaceTempView("raw_events")
+    sql = T.transform_events_sql(spark, "raw_events", "3.0D").collect()
+    api = T.transform_events(df, F.lit(3.0)).collect()
+    assert sorted(map(tuple, sql)) == sorted(map(tuple, api))
+
+
+def test_wall_clock_is_stamped_per_row(spark):
+    stamped = T.stamp_out_ts(spark.range(0, 300_000, 1, 2).withColumn("x", F.sha2(F.col("id").cast("string"), 512)))
+    assert stamped.select("out_ts").distinct().count() > 1
+    frozen = spark.range(10).select(F.unix_micros(F.current_timestamp()).alias("t")).distinct().count()
+    assert frozen == 1
+
+
+def test_pad_is_ignored_by_the_decoder(spark):
+    events = T.decode_events(raw(spark, GOOD))
+    padded = T.pad_payload(events, 1000)
+    assert padded.select(F.length("pad")).collect()[0][0] == 1000
+    assert T.pad_payload(events, 0).columns == events.columns
+    with pytest.raises(ValueError):
+        T.pad_payload(events, -1)
+
+
+def test_empty_input(spark):
+    assert T.transform_events(raw(spark, GOOD).limit(0)).collect() == []
+
+
+# --- plans ---------------------------------------------------------------------------
+
+
+def test_transform_plan_is_narrow_and_parses_each_record_once(spark, plan):
+    text = plan(T.transform_events(raw(spark, GOOD)))
+    assert "Exchange" not in text
+    assert "Python" not in text
+    assert text.count("from_json(") == 1
+    assert text.count("reflect(") == 1
+
+
+def test_decode_reads_only_the_wanted_field(spark):
+    # The optimised plan prunes the JSON schema to what is selected.
+    text = T.decode_events(raw(spark, GOOD)).select("event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "country" not in text
+
+
+def test_filter_is_pushed_into_the_scan(spark, tmp_path, plan):
+    events = T.decode_events(raw(spark, GOOD))
+    events.write.parquet(str(tmp_path / "events"))
+    text = plan(T.filter_purchase_intent(spark.read.parquet(str(tmp_path / "events"))).select("event_id"))
+    assert "In(event_type" in text and "GreaterThan(amount,0.0)" in text
+    assert "country" not in text.split("ReadSchema")[1]

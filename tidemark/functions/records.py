@@ -26,7 +26,8 @@ def decode(value: Column | str = "value", schema: T.StructType = INPUT_EVENT, on
     """
     if on_error not in ("null", "fail"):
         raise ValueError(f"on_error must be 'null' or 'fail', not {on_error!r}")
-    options = {"mode": "FAILFAST" if on_error == "fail" else "PERMISSIVE"}
+    # Spark prunes the schema to the fields in use only where no option is set.
+    options = {"mode": "FAILFAST"} if on_error == "fail" else {}
     if keep_corrupt:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options["columnNameOfCorruptRecord"] = CORRUPT
