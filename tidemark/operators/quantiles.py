@@ -33,25 +33,23 @@ def _first_bucket(x: Column) -> Column:
     return F.when(x < 0, -steps).otherwise(steps)
 
 
-def _ranks(total: Column, probs: Sequence[float]) -> Column:
-    """0-based ranks on both sides of each quantile position."""
-    wanted = []
-    for q in probs:
-        low = F.floor(F.lit(float(q)) * (total - 1)).cast("bigint")
-        wanted += [low, F.least(low + 1, total - 1)]
-    return F.array_distinct(F.array(*wanted))
+def _low_and_high(q: float, total: str) -> tuple[str, str]:
+    """0-based ranks on both sides of the position of quantile ``q``, as SQL text."""
+    low = f"CAST(floor({float(q)!r}D * ({total} - 1)) AS BIGINT)"
+    return low, f"least({low} + 1, {total} - 1)"
 
 
-def _inside(wanted: Column) -> Column:
-    """Those of the wanted ranks that fall into the row's bucket."""
-    return F.filter(wanted, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+def _inside(probs: Sequence[float]) -> str:
+    """SQL text: those of the wanted ranks that fall into the row's bucket."""
+    wanted = ", ".join(rank for q in probs for rank in _low_and_high(q, "total"))
+    return f"filter(array_distinct(array({wanted})), k -> k >= before AND k < before + n)"
 
 
 def _holding(buckets: DataFrame, group: list[str], order: str, probs: Sequence[float]) -> DataFrame:
     """Buckets that hold wanted ranks; ``before`` moves from the group's first rank to the bucket's."""
     running = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = buckets.withColumn("before", F.col("before") + F.sum("n").over(running) - F.col("n"))
-    return placed.filter(F.size(_inside(_ranks(F.col("total"), probs))) > 0)
+    return placed.filter(f"size({_inside(probs)}) > 0")
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
@@ -104,18 +102,15 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
         open_ = split.filter(F.col("lo") < F.col("hi"))
 
     # At most two (rank, value) pairs for each quantile and group.
-    pairs = F.transform(_inside(_ranks(F.col("total"), probs)),
-                        lambda k: F.struct(k.alias("k"), F.col("lo").alias("v")))
-    result = answers.groupBy(*keys).agg(F.first("total").alias("count"), F.first("max").alias("max"),
-                                        (F.first("sum") / F.first("total")).alias("mean"),
-                                        F.map_from_entries(F.flatten(F.collect_list(pairs))).alias("m"))
+    pairs = f"transform({_inside(probs)}, k -> named_struct('k', k, 'v', lo))"
+    result = answers.groupBy(*keys).agg(
+        F.first("total").alias("count"), F.first("max").alias("max"), F.expr("first(sum) / first(total)").alias("mean"),
+        F.expr(f"map_from_entries(flatten(collect_list({pairs})))").alias("m"))
     return result.select(*[F.col(k)[b].alias(b) for b, k in zip(by, keys)], "count", "max", "mean",
-                         F.array(*[_interpolate(q) for q in probs]).alias("q"))
+                         F.expr(f"array({', '.join(_interpolate(q) for q in probs)})").alias("q"))
 
 
-def _interpolate(q: float) -> Column:
-    position = F.lit(float(q)) * (F.col("count") - 1)
-    low = F.floor(position).cast("bigint")
-    high = F.least(low + 1, F.col("count") - 1)
-    part = position - low
-    return F.col("m")[low] * (F.lit(1.0) - part) + F.col("m")[high] * part
+def _interpolate(q: float) -> str:
+    low, high = _low_and_high(q, "count")
+    part = f"({float(q)!r}D * (count - 1) - {low})"
+    return f"m[{low}] * (1D - {part}) + m[{high}] * {part}"

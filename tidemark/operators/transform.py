@@ -25,7 +25,7 @@ def _check_missing(missing: str) -> None:
         raise ValueError(f"missing must be 'null' or 'default', not {missing!r}")
 
 
-def _record(on_error: str, coerce: bool, value: str = "value") -> Column:
+def _record(on_error: str, coerce: bool, value: Column | str = "value") -> Column:
     return R.decode_coerced(value, on_error=on_error) if coerce else R.decode(value, on_error=on_error)
 
 
@@ -109,15 +109,18 @@ def _decoded_and_filtered(raw: DataFrame, on_error: str, missing: str, coerce: b
     """Decode and filter with one JSON parse per candidate record.
 
     A filter written after ``from_json`` is pushed below it and parses each record again
-    for every field it reads. Filtering a one-element array inside the projection keeps
-    the single parse, and the text test in front spares it for most other records.
-    With ``on_error="fail"`` every record must be parsed, so the test is left out.
+    for every field it reads. Here a record is a one-element array that is thinned out
+    inside one projection: text without a wanted type goes first, unparsed, and what
+    remains is parsed once. With ``on_error="fail"`` every record must be parsed, so the
+    text is not looked at.
     """
-    candidates = raw if on_error == "fail" else raw.filter(R.may_be_purchase_intent("value"))
-    kept = F.filter(F.array(_record(on_error, coerce)),
-                    lambda e: R.is_purchase_intent(e["event_type"], e["amount"]))
+    text = F.array(F.col("value").cast("string"))
+    if on_error != "fail":
+        text = F.filter(text, R.may_be_purchase_intent)
+    records = F.transform(text, lambda value: _record(on_error, coerce, value))
+    kept = F.filter(records, lambda e: R.is_purchase_intent(e["event_type"], e["amount"]))
     # Defaults cannot turn a dropped record into a kept one: "" and 0.0 both fail the filter.
-    return _fill_missing(candidates.select(F.inline(kept)), missing)
+    return _fill_missing(raw.select(F.inline(kept)), missing)
 
 
 def transform_decoded(raw: DataFrame, clock: Column | None = None, on_error: str = "null", missing: str = "null",
@@ -144,11 +147,12 @@ def transform_events_sql(spark: SparkSession, view: str, out_ts: str | None = No
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INPUT_EVENT)
     return spark.sql(f"""
         WITH decoded AS (
-          SELECT inline(filter(array(from_json(CAST(value AS STRING), '{schema}')),
-                 e -> e.event_type IN ('purchase', 'add_to_cart') AND e.amount > 0))
+          SELECT inline(filter(transform(
+              filter(array(CAST(value AS STRING)),
+                     v -> contains(v, 'purchase') OR contains(v, 'add_to_cart') OR contains(v, '\\\\')),
+              v -> from_json(v, '{schema}')),
+            e -> e.event_type IN ('purchase', 'add_to_cart') AND e.amount > 0))
           FROM {view}
-          WHERE contains(CAST(value AS STRING), 'purchase') OR contains(CAST(value AS STRING), 'add_to_cart')
-             OR contains(CAST(value AS STRING), '\\\\')
         ), enriched AS (
           SELECT event_id, user_id, event_type, upper(country) AS country, amount,
                  round(amount * 1.21D, 2) AS amount_with_tax, ts, {stamp} AS out_ts
