@@ -116,6 +116,13 @@ def test_exact_quantiles_agree_with_sorting(spark, ranked_rows, splits):
             assert value == pytest.approx(percentile(values, q), rel=1e-12), (name, q)
 
 
+def test_exact_quantiles_next_to_infinities(spark):
+    values = [float("-inf")] * 30 + [float(v) for v in range(200)] + [float("inf")] * 20
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    row = exact_quantiles(df, "x", [], [0.1, 0.5, 0.99], ranked_rows=5, splits=4).first()
+    assert row["q"][0] == float("-inf") and row["q"][1] == percentile(values, 0.5) and row["max"] == float("inf")
+
+
 def test_exact_quantiles_of_null_groups_and_without_groups(spark):
     df = spark.createDataFrame([(None, "x", 1.0), (None, "x", 3.0), ("a", None, 5.0)], "g string, h string, x double")
     got = {(r.g, r.h): r["q"][0] for r in exact_quantiles(df, "x", ["g", "h"], [0.5]).collect()}

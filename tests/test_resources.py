@@ -80,7 +80,8 @@ def test_peaks_differ_by_definition(spark, tmp_path):
     """Containers: sum of peaks. Pods: peak of sums."""
     stats = "epoch,container,cpu_pct,mem_used_mb,mem_pct\n1,a,100,1,1\n2,a,0,1,1\n1,b,0,1,1\n2,b,100,1,1\n"
     totals = R.engine_usage_totals(R.container_usage(runs.read_container_stats(spark, write(tmp_path, "e_stats.csv", stats))))
-    pods = "1 spark rtm-bench-a 1000m 1Mi\n2 spark rtm-bench-a 0m 1Mi\n1 spark rtm-bench-b 0m 1Mi\n2 spark rtm-bench-b 1000m 1Mi\n"
+    pods = ("1 spark rtm-bench-a 1000m 1Mi\n2 spark rtm-bench-a 0m 1Mi\n"
+            "1 spark rtm-bench-b 0m 1Mi\n2 spark rtm-bench-b 1000m 1Mi\n")
     usage = R.pod_usage(runs.read_pod_samples(spark, write(tmp_path, "e_top.txt", pods)))
     assert totals.first().cpu_peak == 2.0 and usage.first().peak_cpu_cores == 1.0
 

@@ -21,8 +21,9 @@ LOG = "[consumer] seen=5 kept=3 (steady)\n\n=== SUMMARY ===\n" + json.dumps(SUMM
 
 
 def latencies(spark):
-    rows = [(e, 1750684800.1234565, str(i), 1750684800.0, 1750684800.05, 50.0005, 123.4565) for e in ("a", "b") for i in range(3)]
-    return spark.createDataFrame(rows, "engine string, recv_ts double, event_id string, ts double, out_ts double, pipeline_ms double, e2e_ms double")
+    rows = [(e, 1750684800.1234565, str(i), 1750684800.0, 1750684800.05, 50.0005, 123.4565) for e in "ab" for i in range(3)]
+    return spark.createDataFrame(rows, "engine string, recv_ts double, event_id string, ts double, out_ts double, "
+                                       "pipeline_ms double, e2e_ms double")
 
 
 def test_latency_csv_has_fixed_decimals_and_header(spark, tmp_path):
@@ -36,11 +37,19 @@ def test_latency_csv_has_fixed_decimals_and_header(spark, tmp_path):
     assert runs.latency_records(spark, path).count() == 6
 
 
+def test_latency_csv_survives_odd_stamps(spark, tmp_path):
+    odd = latencies(spark).limit(1).withColumns({"ts": F.lit(float("nan")), "pipeline_ms": F.lit(float("inf"))})
+    runs.latency_sink(odd, str(tmp_path / "odd"))
+    row = runs.latency_records(spark, str(tmp_path / "odd")).first()
+    assert row.ts is None and row.pipeline_ms is None and row.out_ts == 1750684800.05
+
+
 def test_latency_parquet_keeps_doubles(spark, tmp_path):
     path = str(tmp_path / "parquet")
     runs.latency_sink(latencies(spark), path, "parquet")
     back = runs.latency_records(spark, path, "parquet")
-    assert back.select("engine", "recv_ts", "pipeline_ms").exceptAll(latencies(spark).select("engine", "recv_ts", "pipeline_ms")).count() == 0
+    columns = ("engine", "recv_ts", "pipeline_ms")
+    assert back.select(*columns).exceptAll(latencies(spark).select(*columns)).count() == 0
 
 
 def test_latency_sink_does_not_shuffle(spark, tmp_path):

@@ -28,9 +28,13 @@ RESOLUTION = 128.0
 
 
 def _first_bucket(x: Column) -> Column:
-    """Logarithmic bucket number, non-decreasing in ``x``."""
+    """Logarithmic bucket number, non-decreasing in ``x``.
+
+    Declared non-null: a join on it would otherwise test for null first and so compute
+    the logarithm twice.
+    """
     steps = F.floor(F.log1p(F.abs(x) / F.lit(UNIT)) * F.lit(RESOLUTION)).cast("bigint")
-    return F.when(x < 0, -steps).otherwise(steps)
+    return F.coalesce(F.when(x < 0, -steps).otherwise(steps), F.lit(0).cast("bigint"))
 
 
 def _low_and_high(q: float, total: str) -> tuple[str, str]:

@@ -39,10 +39,10 @@ def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine",
     """Write every record, warm-up included, one folder per run.
 
     Rows are written where they are, without a shuffle: a large run becomes many files,
-    never one task. CSV has fixed decimals, Parquet keeps the doubles.
+    never one task. CSV has fixed decimals, and no entry for NaN; Parquet keeps the doubles.
     """
     if fmt == "csv":
-        fixed = [round_nearest(c, _DECIMALS[c]).cast(f"decimal(22,{_DECIMALS[c]})").alias(c)
+        fixed = [round_nearest(c, _DECIMALS[c]).try_cast(f"decimal(22,{_DECIMALS[c]})").alias(c)
                  if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS]
         df = df.select(by, *fixed)
     else:
