@@ -170,7 +170,7 @@ ORACLES = {
     "throughput": f"WITH {_SUMMARY} SELECT engine, kept_records, seen_records, throughput_eps FROM summary",
     "run_summary": f"WITH {_SUMMARY} SELECT * FROM summary",
     "empty_run_flag": f"""WITH {B.LATENCY_SQL},
-        hourly AS (SELECT *, strftime(to_timestamp(floor(ts)) AT TIME ZONE 'UTC', '%H') AS hour
+        hourly AS (SELECT *, strftime(make_timestamp(CAST(floor(ts) AS BIGINT) * 1000000), '%H') AS hour
           FROM rec WHERE ts < 1704067200 + {DAY}),
         {B.summary_sql('hourly', 'hour', DAY, 3500)}
         SELECT engine, kept_records, seen_records, kept_records = 0 AS empty_run, e2e_p99 FROM summary""",
