@@ -21,8 +21,9 @@ from tidemark.cluster import join_small, settle, stable
 RANKED_ROW_LIMIT = 200_000
 # Sub-buckets per narrowing pass.
 SPLITS = 4096
-# First pass: bucket width is 1/128 of the value, and 1/128000 around zero. The widest
-# double then falls into bucket 91,648, which bounds the buckets of a group.
+# First pass: bucket width is 1/128 of the value, and 1/128000 around zero. The largest
+# finite quotient falls into bucket 90,852 and all beyond it share one, on either side of
+# zero: a group has at most 181,707 buckets.
 UNIT = 1e-3
 RESOLUTION = 128.0
 
