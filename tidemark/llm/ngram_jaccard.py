@@ -46,11 +46,21 @@ class Similarity:
             lows.append(lows[-1] * self.den // self.num + 1)
         return np.array(lows, np.int64)
 
-    def parts(self, lows: np.ndarray) -> np.ndarray:
-        """Parts for documents that meet at each band: the most elements that linked sets may differ by, plus one."""
+    def parts(self, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, spare ones among them) for documents that meet at each band.
+
+        Linked sets differ by at most a number of elements, so one part more than that makes one equal.
+        Spare parts make more of them equal: as many empty ones as the spare can then be left out.
+        """
         top = np.append(lows[1:], lows[-1] * self.den // self.num + 1) - 1
         both = top + top * self.den // self.num
-        return both * (self.den - self.num) // (self.den + self.num) + 1
+        need = both * (self.den - self.num) // (self.den + self.num) + 1
+        spare = np.ones(len(lows), np.int64)
+        for _ in range(8):
+            empty = (need + spare) * np.exp(-lows / (need + spare))
+            spare = 1 + np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
+        spare = np.where(lows < 8, 0, np.minimum(spare, need))
+        return need + spare, spare
 
 
 def shingle_sets(words: X.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +89,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
     if not len(names):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lows = sim.bands(int(counts.max()))
-    parts = sim.parts(lows)
+    parts, spare = sim.parts(lows)
     band = np.searchsorted(lows, counts, "right") - 1
     rows = np.repeat(np.arange(len(counts)), counts)
     out, owners = [], []
@@ -87,7 +97,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
         level = band - step
         todo = (level >= 0) & (counts > 0)
         for deal in range(DEALS):
-            # Two sets that only share an empty part both know it, and are dealt anew by another hash.
+            # Two sets whose equal parts may all be empty both know it, and are dealt anew by another hash.
             k = np.where(todo, parts[np.maximum(level, 0)], 0)
             first = np.cumsum(k) - k
             held = todo[rows]
@@ -103,8 +113,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
             keep = ~empty if deal < DEALS - 1 else np.ones(len(total), bool)
             out.append(X.mix(total ^ tag)[keep])
             owners.append(owner[keep])
-            todo = np.zeros(len(counts), bool)
-            todo[owner[empty]] = True
+            todo &= np.bincount(owner[empty], minlength=len(counts)) > np.where(todo, spare[np.maximum(level, 0)], 0)
             if not todo.any():
                 break
     return np.concatenate(out), np.concatenate(owners)
