@@ -159,6 +159,9 @@ def _name_windows(width: int):
                 h2 = (X.window_hash(hashes, starts, width, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc, at = ids[row:end][owner], (starts - words.first[owner]).astype(np.int32)
                 order, least = _keep_lowest((h1, h2), doc)
+                once = np.zeros(len(order), bool)  # a document that repeats a window sends its first place only
+                once[X.group_starts(h1[order], h2[order], doc[order])] = True
+                order, least = order[once], least[once]
                 ask = order[doc[order] == least]
                 known = order[doc[order] > least]
                 named = lambda at_rows: pa.RecordBatch.from_arrays([
@@ -175,6 +178,12 @@ def _cut(width: int):
                 words = X.Words(data, offsets)
                 part = batch.column("places").slice(row, end - row)
                 places = np.asarray(part.flatten()).astype(np.int64) + np.repeat(words.first[:-1], np.asarray(part.value_lengths()))
+                # a place stands for all windows of its document that are equal to the one there
+                starts, rows = words.window_starts(width), X.mix(words.rows().astype(np.uint64))
+                names = X.window_hash(words.hashes(), starts, width) ^ rows[starts]
+                named = np.zeros(len(words), bool)
+                named[places] = True
+                places = starts[np.isin(names, names[named[starts]])]
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + width, -1)
