@@ -9,6 +9,7 @@ positions, and the language with the shortest code wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,28 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return key
 
 
+@dataclass
+class Counts:
+    """What training gathered: (context and byte, language, times). It is small; workers build the model."""
+
+    keys: np.ndarray
+    language: np.ndarray
+    counts: np.ndarray
+    languages: list[str]
+
+
+_BUILT: dict[tuple, Model] = {}
+
+
+def model_of(counts: Counts) -> Model:
+    """The model, built once per worker."""
+    name = (tuple(counts.languages), len(counts.keys), int(counts.counts.sum()), int(counts.keys.sum()))
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Model(counts.keys, counts.language, counts.counts, counts.languages)
+    return _BUILT[name]
+
+
 class Model:
     """Code lengths in bits of every known (context, byte), for all languages at once.
 
@@ -121,8 +144,8 @@ def _count(languages: list[str]):
     return run
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Model from ``labelled`` (doc_id, text, lang), or None if no row has a language and a text.
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Counts | None:
+    """Counts from ``labelled`` (doc_id, text, lang), or None if no row has a language and a text.
 
     A language gives about ``sample_docs`` documents, chosen by hash of the id; the ``MAX_LANGUAGES``
     most frequent languages and their ``MAX_CONTEXTS`` most frequent contexts are kept, so the model is
@@ -140,12 +163,12 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     if not len(counted):
         return None
     key = counted["key"].to_numpy(np.int64)
-    return Model(key & ((1 << 48) - 1), key >> 48, counted["n"].to_numpy(np.float64), languages)
+    return Counts(key & ((1 << 48) - 1), key >> 48, counted["n"].to_numpy(np.int64), languages)
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt = model.value if model is not None else None
+        learnt = model_of(model.value) if model is not None else None
         for batch in batches:
             for row, end, data, offsets in X.slices(batch.column("text")):
                 held = batch.slice(row, end - row)
@@ -177,7 +200,7 @@ def _predict(model):
     return run
 
 
-def predict(documents: DataFrame, model: Model | None) -> DataFrame:
+def predict(documents: DataFrame, model: Counts | None) -> DataFrame:
     """``documents`` with lang_pred and score, the posterior of that language under equal priors.
 
     Texts without a letter, empty and null ones give ``und`` with score 0, and so does every text if the

@@ -166,7 +166,7 @@ class Table:
     """Positions of 64-bit keys, looked up many at a time."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(8 * len(keys) + 8).bit_length())
+        self.bits = max(4, int(4 * len(keys) + 8).bit_length())
         self.keys, self.slots, self.steps = keys, np.full(1 << self.bits, -1, np.int32), 0
         left = np.arange(len(keys))
         while len(left):
