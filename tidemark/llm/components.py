@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.cluster import settle
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and none on a node that hangs itself."""
+    ends = edges.selectExpr("hi AS n", "1 AS hangs", "0 AS holds").union(edges.selectExpr("lo AS n", "0 AS hangs", "1 AS holds"))
+    return ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs + holds > 1 AND hangs > 0").isEmpty()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -17,12 +19,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Each round hangs neighbours on the smallest node in sight, in both directions, so that the number
     of rounds grows with the logarithm of a component's size. Minima are pre-aggregated before the
-    shuffle; they are settled before they are joined, so Spark can split the rows of a hub. Edges with a null end are ignored.
+    shuffle; they are settled before they are joined, so Spark can split the rows of a hub. Edges with
+    a null end are ignored.
     """
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
     star = settle(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    seen = _fingerprint(star)
-    while seen[0]:
+    while not _is_done(star):
         both = star.selectExpr("hi AS u", "lo AS v").union(star.selectExpr("lo AS u", "hi AS v"))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"))
         large = settle(both.join(least, "u").filter("v > u").selectExpr("v AS hi", "m AS lo").distinct())
@@ -30,8 +32,4 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         hung = large.join(low, "hi").select(F.explode(F.array(
             F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         star = settle(hung.select("e.hi", "e.lo").filter("hi <> lo").distinct())
-        now = _fingerprint(star)
-        if now == seen:
-            break
-        seen = now
     return star.selectExpr("hi AS node", "lo AS root").union(star.selectExpr("lo AS node", "lo AS root").distinct())

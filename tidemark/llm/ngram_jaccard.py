@@ -220,13 +220,20 @@ def link_tile(sets: list[np.ndarray], labels: np.ndarray, across: np.ndarray | N
 
 
 def _tile(sim: Similarity):
+    """(a, b) for the rows of a tile that links join to a smaller id: b is the smallest they reach."""
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("doc_id"))
         sets = [np.asarray(s.values).view(np.uint64) for s in table.column("shingles")]
         labels = np.asarray(table.column("label"))
         across = np.asarray(table.column("minor")) if "minor" in table.column_names else None
-        found = np.array(link_tile(sets, labels, across, sim), np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+        forest = Forest(ids)
+        for i, j in link_tile(sets, labels, across, sim):
+            forest.join(i, j)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, forest.label, ids)
+        root = least[forest.label]
+        lower = root < ids
+        return pa.table({"a": ids[lower], "b": root[lower]})
     return run
 
 
@@ -260,25 +267,26 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
         _arrays(width), ", ".join(f"`{n}` {t}" for n, t in ids.dtypes) + ", shingles array<bigint>")
     first = settle(arrays(members.select("doc_id", "group", "chunk", F.col("doc_id").alias("label")))
                    .groupBy("group", "chunk").applyInArrow(_tile(sim), "a bigint, b bigint"))
-    second = _between_chunks(arrays, members.filter("chunks > 1"), first, sim)
+    roots = _over_chunks(arrays, members.filter("chunks > 1"), first, sim)
 
-    same = docs.filter("n > 0 AND doc_id IS NOT NULL")
-    copies = same.join(same.groupBy("d1", "d2").agg(F.min("doc_id").alias("b")), ["d1", "d2"]).filter("b < doc_id").selectExpr("doc_id AS a", "b")
-    links = first.union(second).union(copies)
-    roots = components(links).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
-    return (docs.join(roots, "doc_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    # equal sets stand with the smallest id of their digest
+    same = docs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    return (docs.join(same, ["d1", "d2"], "left").join(roots.withColumnsRenamed({"a": "rep", "b": "root"}), "rep", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("root", F.when(F.col("n") > 0, F.col("rep")), "doc_id")).alias("component_id")))
 
 
-def _between_chunks(arrays, members: DataFrame, first: DataFrame, sim: Similarity) -> DataFrame:
-    """Links between the chunks of large groups.
+def _over_chunks(arrays, members: DataFrame, first: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b) as in ``first``, with the links between the chunks of large groups.
 
-    After the first tiles most of a dense group is one component. Its pairs need no further look, so
+    A group of one chunk is done. After the first tiles most of a dense group is one component. Its pairs need no further look, so
     only the other documents travel to every chunk of their group, in blocks of a tile's size.
     """
     if members.isEmpty():
-        return first.limit(0)
-    roots = components(first).withColumnRenamed("node", "doc_id")
+        return first
+    ids = settle(members.select(F.col("doc_id").alias("a")))
+    large, done = first.join(X.few(ids), "a", "left_semi"), first.join(X.few(ids), "a", "left_anti")
+    roots = components(large).withColumnRenamed("node", "doc_id")
     labelled = settle(members.join(roots, "doc_id", "left").select(
         "doc_id", "group", "chunk", "chunks", "n", F.coalesce("root", "doc_id").alias("label")))
     main = (labelled.groupBy("group", "label").count().groupBy("group")
@@ -289,4 +297,6 @@ def _between_chunks(arrays, members: DataFrame, first: DataFrame, sim: Similarit
     stay = held.selectExpr("doc_id", "group", "label", "false AS minor", "chunk", "explode(sequence(0L, blocks - 1)) AS block")
     go = held.filter("minor").selectExpr("doc_id", "group", "label", "minor", "explode(sequence(0L, chunks - 1)) AS chunk", "block")
     tiles = arrays(settle(held.select("doc_id").distinct())).join(stay.union(go), "doc_id")
-    return settle(tiles.groupBy("group", "chunk", "block").applyInArrow(_tile(sim), "a bigint, b bigint"))
+    between = settle(tiles.groupBy("group", "chunk", "block").applyInArrow(_tile(sim), "a bigint, b bigint"))
+    merged = components(large.union(between)).filter("node <> root")
+    return done.union(merged.selectExpr("node AS a", "root AS b"))

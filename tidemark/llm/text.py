@@ -6,6 +6,7 @@ slice of rows at a time, so that a worker's memory follows ``SLICE_BYTES`` or th
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 BROADCAST_IDS = 500_000
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,7 +50,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, as one batch of texts lies in memory on both sides."""
+    """Small Arrow batches, as one batch of texts lies in memory on both sides.
+
+    Workers on this machine also learn where the package lies, in case it was only put on the driver's path.
+    """
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
 
