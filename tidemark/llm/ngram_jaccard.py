@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.cluster import scratch_path, settle
+from tidemark.cluster import settle
 from tidemark.llm import text as X
 from tidemark.llm.components import components
 
@@ -26,10 +26,6 @@ TILE_SHINGLES = 1 << 19
 BITS_LIMIT = 1 << 15
 DEALS = 12
 
-SKETCH = ("docs array<struct<doc_id:bigint,n:bigint,d1:bigint,d2:bigint>>, "
-          "asks array<struct<part:bigint,doc_id:bigint>>, near array<struct<a:bigint,b:bigint>>")
-
-
 class Similarity:
     """``num / den`` of the union; sizes fall into bands of that ratio."""
 
@@ -46,21 +42,25 @@ class Similarity:
             lows.append(lows[-1] * self.den // self.num + 1)
         return np.array(lows, np.int64)
 
-    def parts(self, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(parts, spare ones among them) for documents that meet at each band.
+    def parts(self, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(parts, spare ones among them, least elements of a part that is used) for documents that meet at each band.
 
         Linked sets differ by at most a number of elements, so one part more than that makes one equal.
-        Spare parts make more of them equal: as many empty ones as the spare can then be left out.
+        Spare parts make more of them equal: as many light ones as the spare can then be left out, such
+        as a single shingle of a common line.
         """
         top = np.append(lows[1:], lows[-1] * self.den // self.num + 1) - 1
         both = top + top * self.den // self.num
         need = both * (self.den - self.num) // (self.den + self.num) + 1
+        least = np.where((lows >= 64) & (2 * lows >= 9 * need), 2, 1)  # where parts are full enough to afford it
         spare = np.ones(len(lows), np.int64)
-        for _ in range(8):
-            empty = (need + spare) * np.exp(-lows / (need + spare))
-            spare = 1 + np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
-        spare = np.where(lows < 8, 0, np.minimum(spare, need))
-        return need + spare, spare
+        for _ in range(12):
+            parts = need + spare
+            load = lows / parts
+            light = parts * np.exp(-load) * np.where(least == 2, 1 + load, 1)
+            spare = np.minimum(1 + np.ceil(light + 3 * np.sqrt(light)).astype(np.int64), need)
+        spare = np.where(lows < 8, 0, spare)
+        return need + spare, spare, least
 
 
 def shingle_sets(words: X.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
     if not len(names):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lows = sim.bands(int(counts.max()))
-    parts, spare = sim.parts(lows)
+    parts, spare, least = sim.parts(lows)
     band = np.searchsorted(lows, counts, "right") - 1
     rows = np.repeat(np.arange(len(counts)), counts)
     out, owners = [], []
@@ -97,7 +97,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
         level = band - step
         todo = (level >= 0) & (counts > 0)
         for deal in range(DEALS):
-            # Two sets whose equal parts may all be empty both know it, and are dealt anew by another hash.
+            # Two sets whose equal parts may all be light both know it, and are dealt anew by another hash.
             k = np.where(todo, parts[np.maximum(level, 0)], 0)
             first = np.cumsum(k) - k
             held = todo[rows]
@@ -109,32 +109,50 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
             owner = np.repeat(np.arange(len(counts)), k)
             slot = np.arange(len(total)) - first[owner]
             tag = X.mix((slot * 64 + deal).astype(np.uint64) * np.uint64(4099) + level[owner].astype(np.uint64))
-            empty = np.bincount(cell, minlength=len(total)) == 0
-            keep = ~empty if deal < DEALS - 1 else np.ones(len(total), bool)
+            light = np.bincount(cell, minlength=len(total)) < least[level[owner]]
+            keep = ~light if deal < DEALS - 1 else np.ones(len(total), bool)
             out.append(X.mix(total ^ tag)[keep])
             owners.append(owner[keep])
-            todo &= np.bincount(owner[empty], minlength=len(counts)) > np.where(todo, spare[np.maximum(level, 0)], 0)
+            todo &= np.bincount(owner[light], minlength=len(counts)) > np.where(todo, spare[np.maximum(level, 0)], 0)
             if not todo.any():
                 break
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _sketch(width: int, sim: Similarity):
+def _digests(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set."""
+    out = np.zeros((2, len(counts)), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        first = (np.cumsum(counts) - counts)[full]
+        for digest, seed in zip(out, (11, 13), strict=True):
+            digest[full] = np.add.reduceat(X.mix(names ^ np.uint64(seed)), first)
+    return out[0], out[1]
+
+
+def _describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in X.slices(batch.column("text")):
+                names, counts = shingle_sets(X.Words(X.LOWER[data], offsets), width)
+                d1, d2 = _digests(names, counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), X.longs(counts), X.longs(d1), X.longs(d2)], ["doc_id", "n", "d1", "d2"])
+    return run
+
+
+def _find_parts(width: int, sim: Similarity):
+    """Parts of every document. Of the documents of a slice that share a part only the first asks for
+    it; the others are tied to it at once (``known``), so a common part sends a row per slice at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, known = X.int64_column(batch.column("doc_id"))
+            ids, valid = X.int64_column(batch.column("doc_id"))
             for row, end, data, offsets in X.slices(batch.column("text")):
                 names, counts = shingle_sets(X.Words(X.LOWER[data], offsets), width)
-                own, ok = ids[row:end], known[row:end]
-                first = np.cumsum(counts) - counts
-                d1, d2 = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
-                full = np.flatnonzero(counts)
-                if len(full):
-                    d1[full] = np.add.reduceat(X.mix(names ^ np.uint64(11)), first[full])
-                    d2[full] = np.add.reduceat(X.mix(names ^ np.uint64(13)), first[full])
-                # equal sets within the slice are linked by their digest; only the first asks
+                own = ids[row:end]
+                # equal sets are linked by their digest; only the first of a slice takes part
+                d1, d2 = _digests(names, counts)
                 order = np.lexsort((own, d2, d1))
-                order = order[(counts > 0)[order] & ok[order]]
+                order = order[(counts > 0)[order] & valid[row:end][order]]
                 lead = np.zeros(len(own), bool)
                 lead[order[X.group_starts(d1[order], d2[order])]] = True
                 part, owner = _part_names(names[np.repeat(lead, counts)], np.where(lead, counts, 0), sim)
@@ -145,11 +163,10 @@ def _sketch(width: int, sim: Similarity):
                 least = np.repeat(doc[begin], np.diff(np.append(begin, len(part))))
                 later = doc != least
                 near = np.unique(np.stack([doc[later], least[later]], 1), axis=0)
+                nothing = pa.nulls(len(near), pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    X.list_row({"doc_id": pa.array(own, pa.int64(), mask=~ok), "n": X.longs(counts), "d1": X.longs(d1), "d2": X.longs(d2)}),
-                    X.list_row({"part": X.longs(part[begin]), "doc_id": X.longs(doc[begin])}),
-                    X.list_row({"a": X.longs(near[:, 0]), "b": X.longs(near[:, 1])}),
-                ], ["docs", "asks", "near"])
+                    pa.concat_arrays([X.longs(part[begin]), nothing]), pa.concat_arrays([X.longs(doc[begin]), X.longs(near[:, 0])]),
+                    pa.concat_arrays([pa.nulls(len(begin), pa.int64()), X.longs(near[:, 1])])], ["part", "doc_id", "known"])
     return run
 
 
@@ -246,17 +263,14 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
     wordless texts link with nothing. Rows that share a doc_id are one node and are all returned; rows
     without doc_id have a null component. Other columns are ignored; an empty table gives no rows.
     """
-    spark, sim = documents.sparkSession, Similarity(num, den)
+    sim = Similarity(num, den)
     texts = X.with_small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    path = scratch_path(spark, "shingles")
-    texts.mapInArrow(_sketch(width, sim), SKETCH).write.parquet(path)
-    sketch = spark.read.parquet(path)
-    docs = sketch.selectExpr("inline(docs)")
-
-    # who shares a part: equal parts of one slice were merged, so a part has a row per slice at most
-    asks = sketch.selectExpr("inline(asks)")
-    met = asks.withColumn("b", F.min("doc_id").over(Window.partitionBy("part"))).filter("b < doc_id")
-    near = met.selectExpr("doc_id AS a", "b").union(sketch.selectExpr("inline(near)")).distinct()
+    docs = texts.mapInArrow(_describe(width), "doc_id bigint, n bigint, d1 bigint, d2 bigint")
+
+    # who shares a part
+    parts = texts.mapInArrow(_find_parts(width, sim), "part bigint, doc_id bigint, known bigint")
+    met = parts.withColumn("least", F.min("doc_id").over(Window.partitionBy("part", "known")))
+    near = met.select(F.col("doc_id").alias("a"), F.coalesce("known", "least").alias("b")).filter("b < a").distinct()
     groups = settle(components(near).withColumnsRenamed({"node": "doc_id", "root": "group"}))
 
     # tiles: a group of moderate size is one, a larger one is dealt by hash
