@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.cluster import settle
+from tidemark.cluster import scratch_path, settle
 from tidemark.llm import text as X
 from tidemark.llm.components import components
 
 TILE_SHINGLES = 1 << 19
 BITS_LIMIT = 1 << 15
 DEALS = 12
+ROUNDS = 5
 
 class Similarity:
     """``num / den`` of the union; sizes fall into bands of that ratio."""
@@ -84,7 +85,7 @@ def shingle_sets(words: X.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return names, np.bincount(rows, minlength=len(words.counts))
 
 
-def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Names of all parts of all rows at both bands that a row's size touches, with their rows."""
     if not len(names):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -102,7 +103,7 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity) -> tuple
             first = np.cumsum(k) - k
             held = todo[rows]
             r = rows[held]
-            x = X.mix(names[held] ^ np.uint64(0x5851F42D4C957F2D * (deal + 1) % 2**64))
+            x = X.mix(names[held] ^ np.uint64(0x5851F42D4C957F2D * (64 * seed + deal + 1) % 2**64))
             cell = first[r] + ((x >> np.uint64(33)).astype(np.int64) * k[r] >> 31)
             total = np.zeros(int(k.sum()), np.uint64)
             np.add.at(total, cell, X.mix(x + np.uint64(1)))
@@ -140,9 +141,10 @@ def _describe(width: int):
     return run
 
 
-def _find_parts(width: int, sim: Similarity):
+def _find_parts(width: int, sim: Similarity, seed: int = 0):
     """Parts of every document. Of the documents of a slice that share a part only the first asks for
-    it; the others are tied to it at once (``known``), so a common part sends a row per slice at most."""
+    it; the others are tied to it at once (``known``), so a common part sends a row per slice at most.
+    With a column ``group`` only documents of one group share parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, valid = X.int64_column(batch.column("doc_id"))
@@ -155,7 +157,9 @@ def _find_parts(width: int, sim: Similarity):
                 order = order[(counts > 0)[order] & valid[row:end][order]]
                 lead = np.zeros(len(own), bool)
                 lead[order[X.group_starts(d1[order], d2[order])]] = True
-                part, owner = _part_names(names[np.repeat(lead, counts)], np.where(lead, counts, 0), sim)
+                part, owner = _part_names(names[np.repeat(lead, counts)], np.where(lead, counts, 0), sim, seed)
+                if "group" in batch.schema.names:
+                    part = X.mix(part ^ X.mix(X.int64_column(batch.column("group"))[0][row:end].view(np.uint64))[owner])
                 doc = own[owner]
                 order = np.lexsort((doc, part))
                 part, doc = part[order], doc[order]
@@ -254,6 +258,21 @@ def _tile(sim: Similarity):
     return run
 
 
+def _groups(texts: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
+    """(doc_id, group) of the documents that parts in common connect; what links is in one group."""
+    parts = texts.mapInArrow(_find_parts(width, sim, seed), "part bigint, doc_id bigint, known bigint")
+    met = parts.withColumn("least", F.min("doc_id").over(Window.partitionBy("part", "known")))
+    near = met.select(F.col("doc_id").alias("a"), F.coalesce("known", "least").alias("b")).filter("b < a").distinct()
+    return components(near).withColumnsRenamed({"node": "doc_id", "root": "group"})
+
+
+def _members(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """Documents of the groups with the chunks that a group needs and the one a document is dealt to."""
+    sized = settle(groups.join(counts, "doc_id"))
+    chunks = sized.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("long").alias("chunks"))
+    return settle(sized.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)")))
+
+
 def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``documents`` (doc_id, text).
 
@@ -265,18 +284,26 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
     """
     sim = Similarity(num, den)
     texts = X.with_small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    docs = texts.mapInArrow(_describe(width), "doc_id bigint, n bigint, d1 bigint, d2 bigint")
-
-    # who shares a part
-    parts = texts.mapInArrow(_find_parts(width, sim), "part bigint, doc_id bigint, known bigint")
-    met = parts.withColumn("least", F.min("doc_id").over(Window.partitionBy("part", "known")))
-    near = met.select(F.col("doc_id").alias("a"), F.coalesce("known", "least").alias("b")).filter("b < a").distinct()
-    groups = settle(components(near).withColumnsRenamed({"node": "doc_id", "root": "group"}))
+    path = scratch_path(documents.sparkSession, "sets")
+    texts.mapInArrow(_describe(width), "doc_id bigint, n bigint, d1 bigint, d2 bigint").write.parquet(path)
+    docs = documents.sparkSession.read.parquet(path)
+
+    groups = _groups(texts, width, sim, 0)
+    counts = docs.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
+    members = _members(groups, counts)
+    for seed in range(1, ROUNDS):
+        # Lines that many documents hold chain large groups. What links also shares a part in any other
+        # deal, so large groups are dealt anew until they no longer shrink.
+        large = settle(members.filter("chunks > 1").select("doc_id", "group"))
+        before = large.count()
+        if not before:
+            break
+        again = _groups(texts.join(X.few(large), "doc_id"), width, sim, seed)
+        members = settle(members.filter("chunks = 1").unionByName(_members(again, counts)))
+        if members.filter("chunks > 1").count() > 0.9 * before:
+            break
 
     # tiles: a group of moderate size is one, a larger one is dealt by hash
-    sized = groups.join(docs.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    chunks = sized.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("long").alias("chunks"))
-    members = settle(sized.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)")))
     arrays = lambda ids: texts.join(X.few(ids), "doc_id").mapInArrow(
         _arrays(width), ", ".join(f"`{n}` {t}" for n, t in ids.dtypes) + ", shingles array<bigint>")
     first = settle(arrays(members.select("doc_id", "group", "chunk", F.col("doc_id").alias("label")))
