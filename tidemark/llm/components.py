@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.cluster import settle
+from tidemark.llm import text as X
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -19,17 +19,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Each round hangs neighbours on the smallest node in sight, in both directions, so that the number
     of rounds grows with the logarithm of a component's size. Minima are pre-aggregated before the
-    shuffle; they are settled before they are joined, so Spark can split the rows of a hub. Edges with
+    shuffle; they are written before they are joined, so Spark can split the rows of a hub. Edges with
     a null end are ignored.
     """
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
-    star = settle(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    star = X.written(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     while not _is_done(star):
         both = star.selectExpr("hi AS u", "lo AS v").union(star.selectExpr("lo AS u", "hi AS v"))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"))
-        large = settle(both.join(least, "u").filter("v > u").selectExpr("v AS hi", "m AS lo").distinct())
-        low = settle(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        least = X.written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"))
+        large = X.written(both.join(least, "u").filter("v > u").selectExpr("v AS hi", "m AS lo").distinct())
+        low = X.written(large.groupBy("hi").agg(F.min("lo").alias("m")))
         hung = large.join(low, "hi").select(F.explode(F.array(
             F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        star = settle(hung.select("e.hi", "e.lo").filter("hi <> lo").distinct())
+        star = X.written(hung.select("e.hi", "e.lo").filter("hi <> lo").distinct())
     return star.selectExpr("hi AS node", "lo AS root").union(star.selectExpr("lo AS node", "lo AS root").distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.cluster import scratch_path, settle
+from tidemark.cluster import scratch_path
 from tidemark.llm import text as X
 from tidemark.llm.components import components
 
@@ -268,9 +268,9 @@ def _groups(texts: DataFrame, width: int, sim: Similarity, seed: int) -> DataFra
 
 def _members(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Documents of the groups with the chunks that a group needs and the one a document is dealt to."""
-    sized = settle(groups.join(counts, "doc_id"))
+    sized = X.written(groups.join(counts, "doc_id"))
     chunks = sized.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("long").alias("chunks"))
-    return settle(sized.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)")))
+    return X.written(sized.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)")))
 
 
 def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -294,19 +294,19 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
     for seed in range(1, ROUNDS):
         # Lines that many documents hold chain large groups. What links also shares a part in any other
         # deal, so large groups are dealt anew until they no longer shrink.
-        large = settle(members.filter("chunks > 1").select("doc_id", "group"))
+        large = X.written(members.filter("chunks > 1").select("doc_id", "group"))
         before = large.count()
         if not before:
             break
         again = _groups(texts.join(X.few(large), "doc_id"), width, sim, seed)
-        members = settle(members.filter("chunks = 1").unionByName(_members(again, counts)))
+        members = X.written(members.filter("chunks = 1").unionByName(_members(again, counts)))
         if members.filter("chunks > 1").count() > 0.9 * before:
             break
 
     # tiles: a group of moderate size is one, a larger one is dealt by hash
     arrays = lambda ids: texts.join(X.few(ids), "doc_id").mapInArrow(
         _arrays(width), ", ".join(f"`{n}` {t}" for n, t in ids.dtypes) + ", shingles array<bigint>")
-    first = settle(arrays(members.select("doc_id", "group", "chunk", F.col("doc_id").alias("label")))
+    first = X.written(arrays(members.select("doc_id", "group", "chunk", F.col("doc_id").alias("label")))
                    .groupBy("group", "chunk").applyInArrow(_tile(sim), "a bigint, b bigint"))
     roots = _over_chunks(arrays, members.filter("chunks > 1"), first, sim)
 
@@ -325,10 +325,10 @@ def _over_chunks(arrays, members: DataFrame, first: DataFrame, sim: Similarity)
     """
     if members.isEmpty():
         return first
-    ids = settle(members.select(F.col("doc_id").alias("a")))
+    ids = X.written(members.select(F.col("doc_id").alias("a")))
     large, done = first.join(X.few(ids), "a", "left_semi"), first.join(X.few(ids), "a", "left_anti")
     roots = components(large).withColumnRenamed("node", "doc_id")
-    labelled = settle(members.join(roots, "doc_id", "left").select(
+    labelled = X.written(members.join(roots, "doc_id", "left").select(
         "doc_id", "group", "chunk", "chunks", "n", F.coalesce("root", "doc_id").alias("label")))
     main = (labelled.groupBy("group", "label").count().groupBy("group")
             .agg(F.max_by("label", F.struct("count", F.negative("label"))).alias("main")))
@@ -337,7 +337,7 @@ def _over_chunks(arrays, members: DataFrame, first: DataFrame, sim: Similarity)
     held = held.join(blocks, "group").withColumn("block", F.expr("pmod(xxhash64(doc_id, 1L), blocks)"))
     stay = held.selectExpr("doc_id", "group", "label", "false AS minor", "chunk", "explode(sequence(0L, blocks - 1)) AS block")
     go = held.filter("minor").selectExpr("doc_id", "group", "label", "minor", "explode(sequence(0L, chunks - 1)) AS chunk", "block")
-    tiles = arrays(settle(held.select("doc_id").distinct())).join(stay.union(go), "doc_id")
-    between = settle(tiles.groupBy("group", "chunk", "block").applyInArrow(_tile(sim), "a bigint, b bigint"))
+    tiles = arrays(X.written(held.select("doc_id").distinct())).join(stay.union(go), "doc_id")
+    between = X.written(tiles.groupBy("group", "chunk", "block").applyInArrow(_tile(sim), "a bigint, b bigint"))
     merged = components(large.union(between)).filter("node <> root")
     return done.union(merged.selectExpr("node AS a", "root AS b"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.cluster import scratch_path
+
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 BROADCAST_IDS = 500_000
@@ -61,6 +63,17 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    A loop reads such a table as a plain file: unlike a checkpoint it hands no constraints of its old
+    plan on to the next round, where they would multiply on the driver.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """A table of ids marked for broadcast if a count shows at most ``BROADCAST_IDS`` rows, else as it is: joins then shuffle."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
