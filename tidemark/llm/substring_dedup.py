@@ -215,7 +215,7 @@ def repeated_passages(documents: DataFrame, width: int = 13) -> DataFrame:
     # whole copies: the smallest id stands for all
     marked = texts.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = settle(marked.join(first, "digest").filter("doc_id > first").select("doc_id", "first").distinct())
+    copies = settle(marked.join(first, "digest").filter("doc_id > first").select("doc_id", "first"))
     single = texts.join(X.few(copies.select("doc_id")), "doc_id", "left_anti")
 
     docs = single.mapInArrow(_digests, "doc_id bigint, n_words bigint, full_sha256 string")
