@@ -36,6 +36,15 @@ def records(spark, rows):
     ('{"event_id":1,"ts":"soon","out_ts":2}', None),
     ('{"event_id":1,"ts":[1],"out_ts":2}', None),
     ("{'ts':1,'out_ts':2}", None),
+    ('{"event_id":1,"ts":"1d","out_ts":2}', None),
+    ('{"event_id":1,"ts":1,"out_ts":"2f"}', None),
+    ('{"event_id":1,"ts":1,"out_ts":2} more', None),
+    ('{"event_id":1,"ts":1,"out_ts":2}}', None),
+    ('{"event_id":1,"ts":1,"out_ts":2}]}', None),
+    ('{"event_id":1,"ts":1,"out_ts":2},{"ts":1,"out_ts":2}', None),
+    ('[{"event_id":1,"ts":1,"out_ts":2}]', None),
+    (' {"event_id":1,"ts":"-1e3","out_ts":".5"} ', ("1", -1000.0, 0.5)),
+    ("7", None),
     ("not json", None),
     ("", None),
     (None, None),
@@ -152,8 +161,8 @@ def test_buffered_and_scalable_percentiles_agree(spark):
     rows = [(f"run{i % 3}" if i % 2 else "run0", v, i) for i, v in enumerate(skewed_values(rng, 6000))]
     df = spark.createDataFrame(rows, "engine string, ms double, i int")
     key = lambda r: r.engine
-    small = sorted(L.latency_percentiles(df, "ms").collect(), key=key)
-    large = sorted(L.latency_percentiles(df, "ms", buffered_rows=10).collect(), key=key)
+    small = sorted(L.latency_percentiles(df, "ms", method="buffered").collect(), key=key)
+    large = sorted(L.latency_percentiles(df, "ms").collect(), key=key)
     narrowed = sorted(L.latency_percentiles_scalable(df, "ms", ranked_rows=50, splits=16).collect(), key=key)
     assert small == large == narrowed
     for r in L.latency_percentiles_scalable(df, "ms", method="approx").collect():
@@ -209,8 +218,16 @@ def test_zero_window_does_not_divide_by_zero(spark):
     assert L.throughput(df, 15, 15).first().throughput_eps == 1e9
 
 
-def test_large_runs_are_not_buffered(spark, monkeypatch):
-    monkeypatch.setattr(L, "BUFFERED_ROW_LIMIT", 10)
+def test_runs_of_any_size_are_not_buffered(spark, plan):
     df = records(spark, [("a", 1000.0 + i, float(i), float(i)) for i in range(100)])
-    row = L.run_summary(df, seconds=200, warmup_s=0).first()
+    summary = L.run_summary(df, seconds=200, warmup_s=0)
+    row = summary.first()
     assert row.pipeline_ms["p50"] == 49.5 and row.e2e_ms["p95"] == 94.05
+    assert "percentile(" not in plan(summary)
+
+
+def test_null_run_has_its_figures(spark):
+    df = records(spark, [(e, 10.0 + i, float(i), float(i)) for i in range(20) for e in (None, "", "a")])
+    rows = {r.engine: r for r in L.run_summary(df, seconds=100, warmup_s=0, runs=[None, "", "a", "b"]).collect()}
+    assert set(rows) == {None, "", "a", "b"} and rows["b"].kept_records == 0
+    assert all(rows[e].kept_records == rows[e].e2e_ms["count"] == 20 and rows[e].e2e_ms["p50"] == 9.5 for e in (None, "", "a"))

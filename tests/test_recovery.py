@@ -41,8 +41,19 @@ def test_gap_agrees_with_ordering(spark, buckets):
     df = times(spark, **runs).repartition(4)
     got = {r.engine: r.gap_ms for r in A.recovery_gap(df, buckets=buckets).collect()}
     assert got == {e: widest(ts) for e, ts in runs.items()}
-    direct = {r.engine: r.gap_ms for r in A.recovery_gap_direct(df).collect()}
-    assert got == direct
+
+
+def test_gap_next_to_times_that_are_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    runs = {"far": [1.0, 2.0, 30.0, inf], "all": [inf, inf], "both": [-inf, inf], "nan": [1.0, nan, 4.0], "plain": [1.0, 2.0]}
+    got = {r.engine: r.gap_ms for r in A.recovery_gap(times(spark, **runs)).collect()}
+    assert got == {"far": inf, "all": 0.0, "both": inf, "nan": 3000.0, "plain": 1000.0}
+
+
+def test_report_of_a_fault_run(spark):
+    rows = [("a", "1", 1.0), ("a", "1", 2.0), ("a", "2", 7.0), (None, "1", 1.0)]
+    got = {r.engine: tuple(r)[1:] for r in A.recovery_report(df_of(spark, rows)).collect()}
+    assert got == {"a": (3, 2, 1, 1, 33.333, 6.0, 5000.0), None: (1, 1, 0, 0, 0.0, 0.0, 0.0)}
 
 
 def test_gap_below_two_rows_is_zero(spark):

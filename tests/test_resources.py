@@ -120,6 +120,14 @@ def test_backlog_agrees_with_its_definition(spark):
     assert (row.max_backlog, row.final_backlog) == (round(max(held)), round(held[-1]))
 
 
+@pytest.mark.parametrize("rate", [1 / 3, 0.4, 0.3333333333333333, 1e-7])
+def test_backlog_at_any_pass_rate(spark, rate):
+    rows = [("r", 1, 0, 0), ("r", 2, 10**9, 333333183)]
+    row = R.topic_backlog(spark.createDataFrame(rows, "label string, ts long, in_end long, out_end long"), rate).first()
+    final = round(10**9 - 333333183 / rate)
+    assert (row.max_backlog, row.final_backlog) == (max(0, final), final)
+
+
 def test_backlog_needs_two_samples_and_survives_one_instant(spark):
     schema = "label string, ts long, in_end long, out_end long"
     assert R.topic_backlog(spark.createDataFrame([("r", 1, 1, 1)], schema)).count() == 0

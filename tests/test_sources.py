@@ -41,7 +41,19 @@ def test_latency_csv_survives_odd_stamps(spark, tmp_path):
     odd = latencies(spark).limit(1).withColumns({"ts": F.lit(float("nan")), "pipeline_ms": F.lit(float("inf"))})
     runs.latency_sink(odd, str(tmp_path / "odd"))
     row = runs.latency_records(spark, str(tmp_path / "odd")).first()
-    assert row.ts is None and row.pipeline_ms is None and row.out_ts == 1750684800.05
+    assert row.ts != row.ts and row.pipeline_ms == float("inf") and row.out_ts == 1750684800.05
+    far = latencies(spark).limit(1).withColumns({"recv_ts": F.lit(1e30), "e2e_ms": F.lit(float("-inf"))})
+    runs.latency_sink(far, str(tmp_path / "far"))
+    row = runs.latency_records(spark, str(tmp_path / "far")).first()
+    assert row.recv_ts == 1e30 and row.e2e_ms == float("-inf")
+
+
+def test_flat_latency_files_stay_two_runs(spark, tmp_path):
+    head = "recv_ts,event_id,ts,out_ts,pipeline_ms,e2e_ms\n"
+    (tmp_path / "x_latency.csv").write_text(head + "3.0,1,1.0,2.0,1000.0,2000.0\n,2,1.0,2.0,1.0,1.0\n")
+    (tmp_path / "y-p6_latency.csv").write_text(head + "4.0,,1.0,2.0,1000.0,3000.0\n")
+    got = sorted((r.engine, r.recv_ts, r.e2e_ms) for r in runs.read_latency_files(spark, str(tmp_path / "*_latency.csv")).collect())
+    assert got == [("x", 3.0, 2000.0), ("y-p6", 4.0, 3000.0)]
 
 
 def test_latency_parquet_keeps_doubles(spark, tmp_path):

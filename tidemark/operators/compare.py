@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.cluster import settle
 from tidemark.contract import FILTER_PASS, RUN_CONFIGS, VCPU_HOUR_USD
 from tidemark.operators.latency import flatten_summary
 from tidemark.operators.resources import cost_estimate
@@ -52,11 +53,14 @@ def speedup_ratio(summaries: DataFrame, baseline: str, metrics: Sequence[str] =
     """Per engine and metric: the baseline's value divided by the engine's.
 
     ``summaries`` is flat (``flatten_summary``), or any table with an engine and metrics.
+    It is evaluated once. Each of its rows is compared; of a baseline listed more than once
+    the largest value counts, and without one there are no rows.
     """
-    long = summaries.select("engine", F.inline(F.array(
+    long = settle(summaries.select("engine", *metrics)).select("engine", F.inline(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
-    base = long.filter(F.col("engine") == baseline).select("metric", F.col("value").alias("baseline_value"))
-    return long.join(base, "metric").withColumn(
+    # One row per metric named by the caller.
+    base = long.filter(F.col("engine") == baseline).groupBy("metric").agg(F.max("value").alias("baseline_value"))
+    return long.join(F.broadcast(base), "metric").withColumn(
         "ratio", F.col("baseline_value") / F.nullif("value", F.lit(0.0)))
 
 

@@ -6,6 +6,8 @@ job is partitioned and a retried task produces the same ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def synthetic_event_stream(spark: SparkSession, rows_per_second: int = 10_000, s
     return events_from_ids(ticks, "value", seed, producers, payload_bytes, emitted)
 
 
-def events_to_kafka_records(events: DataFrame) -> DataFrame:
-    """Events to (key, value): user id as text, event as compact JSON."""
+def events_to_kafka_records(events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Events to (key, value): user id as text, event as compact JSON; columns of ``carry`` stay beside them."""
     fields = ["event_id", "user_id", "event_type", "country", "amount", "ts"]
     fields += [c for c in ("pad", "producer") if c in events.columns]
-    return events.select(R.user_key("user_id").alias("key"), R.encode(fields).alias("value"))
+    return events.select(R.user_key("user_id").alias("key"), R.encode(fields).alias("value"), *carry)

@@ -15,24 +15,31 @@ from tidemark.functions.rounding import round_columns
 from tidemark.operators.quantiles import exact_quantiles
 
 LATENCIES = ("pipeline_ms", "e2e_ms")
-# Largest group the built-in percentile may buffer.
-BUFFERED_ROW_LIMIT = 100_000
 
 _STAMPS = T.StructType([T.StructField(c, T.StringType()) for c in ("event_id", "ts", "out_ts")])
+_END = "end-of-record"
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
 
 def parse_output_events(raw: DataFrame) -> DataFrame:
     """Output records to (event_id, ts, out_ts); other columns of ``raw`` are kept.
 
-    Both stamps must be numbers, or text that reads as one; other records are skipped.
-    ``event_id`` stays text and is empty when missing.
+    A record is one JSON object with nothing after it. Both stamps must be numbers, or text
+    that reads as one (digits without separators); other records are skipped. ``event_id``
+    stays text and is empty when missing.
     """
     kept = [c for c in raw.columns if c not in ("key", "value", *_STAMPS.fieldNames())]
-    entry = F.from_json(F.col("value").cast("string"), _STAMPS, {"allowSingleQuotes": "false"})
+    # Read as a list that goes on after the record: text behind the object breaks the list.
+    listed = F.concat(F.lit("["), F.col("value").cast("string"), F.lit(f',{{"event_id":"{_END}"}}]'))
+    entry = F.from_json(listed, T.ArrayType(_STAMPS), {"allowSingleQuotes": "false"})
 
-    def stamps(e: Column) -> Column:
+    def number(text: Column) -> Column:
+        return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+    def stamps(items: Column) -> Column:
+        e = F.when((F.size(items) == 2) & (F.get(items, F.lit(1))["event_id"] == _END), F.get(items, F.lit(0)))
         return F.struct(F.coalesce(e["event_id"], F.lit("")).alias("event_id"),
-                        e["ts"].try_cast("double").alias("ts"), e["out_ts"].try_cast("double").alias("out_ts"))
+                        number(e["ts"]).alias("ts"), number(e["out_ts"]).alias("out_ts"))
 
     # One-element array, as in the transform: one JSON parse per record.
     parsed = F.filter(F.transform(F.array(entry), stamps), lambda e: e["ts"].isNotNull() & e["out_ts"].isNotNull())
@@ -102,23 +109,18 @@ def _buffered(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return stats.filter("count > 0")
 
 
-def _percentiles_by_size(df: DataFrame, col: str, by: list[str], largest: int, buffered_rows: int) -> DataFrame:
-    if largest <= buffered_rows:
-        return _report(_buffered(df, col, by), by)
-    return latency_percentiles_scalable(df, col, by)
-
-
 def latency_percentiles(df: DataFrame, col: str, by: Sequence[str] = ("engine",),
-                        buffered_rows: int = BUFFERED_ROW_LIMIT) -> DataFrame:
+                        method: str = "histogram") -> DataFrame:
     """Per group: count, p50, p95, p99, max, mean; exact, to three decimals.
 
-    Uses the built-in ``percentile`` when a count shows that every group is small enough
-    to be buffered by one task, and the bucketed method otherwise.
+    The bucketed method serves every size. ``method="buffered"`` asks for the built-in
+    ``percentile``, which brings the distinct values of a group together in one task: for
+    groups that are known to be small.
     """
     by = list(by)
-    df = stable(df.select(*by, F.col(col).cast("double").alias(col)), "latencies")
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    return _percentiles_by_size(df, col, by, largest, buffered_rows)
+    if method == "buffered":
+        return _report(_buffered(df.select(*by, F.col(col).cast("double").alias(col)), col, by), by)
+    return latency_percentiles_scalable(df, col, by, method)
 
 
 def latency_percentiles_scalable(df: DataFrame, col: str, by: Sequence[str] = ("engine",), method: str = "histogram",
@@ -162,20 +164,20 @@ def run_summary(df: DataFrame, seconds: float, warmup_s: float, topic: str = OUT
     records = stable(df.select(by, "recv_ts", *LATENCIES), "run-records")
     tagged = tag_phase(records, warmup_s, seconds, start, [by])
     counts = settle(throughput(tagged, seconds, warmup_s, [by]))
-    largest = counts.agg(F.max("kept_records")).first()[0] or 0
     kept = unpivot_latencies(tagged.filter("kept"), [by])
-    figures = _percentiles_by_size(kept, "ms", [by, "metric"], largest, BUFFERED_ROW_LIMIT)
+    figures = latency_percentiles(kept, "ms", [by, "metric"])
     stats = F.struct("count", *[name for name, _ in QUANTILES], "max", "mean")
-    # One row per run on every side from here on.
-    nested = figures.groupBy(by).agg(*[F.any_value(F.when(F.col("metric") == c, stats), True).alias(c)
-                                       for c in LATENCIES])
+    # One row per run on every side from here on; a null run is a run like the others.
+    nested = figures.groupBy(F.col(by).alias("__run")).agg(
+        *[F.any_value(F.when(F.col("metric") == c, stats), True).alias(c) for c in LATENCIES])
     if runs is not None:
         listed = df.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(runs)], f"{by} string")
-        counts = listed.join(counts, by, "left")
+        counts = counts.withColumnRenamed(by, "__counted")
+        counts = listed.join(counts, F.col(by).eqNullSafe(F.col("__counted")), "left").drop("__counted")
     empty = F.struct(F.lit(0).cast("bigint").alias("count"),
                      *[F.lit(None).cast("double").alias(c) for c in [n for n, _ in QUANTILES] + ["max", "mean"]])
     zero = F.lit(0).cast("bigint")
-    return counts.join(nested, by, "left").select(
+    return counts.join(nested, F.col(by).eqNullSafe(F.col("__run")), "left").select(
         F.col(by).alias("engine"),
         F.lit(topic).alias("topic"),
         F.coalesce("kept_records", zero).alias("kept_records"),

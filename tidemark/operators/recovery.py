@@ -27,7 +27,9 @@ def recovery_gap(df: DataFrame, by: Sequence[str] = ("engine",), buckets: int =
     Rows are never ordered. Each run is cut into buckets that keep their first and last
     time, which gives every gap between buckets. If a bucket spans more than the largest
     of those, its run is cut once more, into buckets narrower than that gap: no gap
-    within them can then be the largest.
+    within them can then be the largest. Null and NaN times are left out; a run that holds
+    an infinite time and another one has an infinite gap. A run's buckets are ordered in
+    chunks, and one task orders the chunks: a 65,536th of the fine buckets.
     """
     by = list(by)
     keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
@@ -36,9 +38,10 @@ def recovery_gap(df: DataFrame, by: Sequence[str] = ("engine",), buckets: int =
         F.col("t").isNotNull() & ~F.isnan("t")), "gap-input")
 
     runs = settle(rows.groupBy(*keys).agg(F.min("t").alias("first"), F.max("t").alias("last")))
-    spanning = runs.filter(F.col("last") > F.col("first"))
+    infinite = F.lit(float("inf"))
     since = F.col("t") - F.col("first")
     width = F.col("last") - F.col("first")
+    spanning = runs.filter((F.col("last") > F.col("first")) & (width < infinite))
     coarse = join_small(rows, spanning, keys).withColumn("bucket", F.floor(since / width * buckets).cast("bigint"))
     coarse = coarse.groupBy(*keys, "bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     gaps = settle(_between_buckets(coarse, keys, "bucket").groupBy(*keys).agg(
@@ -62,14 +65,19 @@ def recovery_gap(df: DataFrame, by: Sequence[str] = ("engine",), buckets: int =
 
     result = runs.join(gaps, keys, "left")
     labels = [F.col(k)[b].alias(b) for b, k in zip(by, keys)]
-    return result.select(*labels, (F.coalesce("gap", F.lit(0.0)) * F.lit(1000.0)).alias("gap_ms"))
-
-
-def recovery_gap_direct(df: DataFrame, by: Sequence[str] = ("engine",)) -> DataFrame:
-    """The same by ordering every run: one task per run, for small runs and as a check."""
-    step = F.col("recv_ts") - F.lag("recv_ts").over(W.partitionBy(*by).orderBy("recv_ts"))
-    return df.filter(F.col("recv_ts").isNotNull()).withColumn("step", step).groupBy(*by).agg(
-        (F.coalesce(F.max("step"), F.lit(0.0)) * F.lit(1000.0)).alias("gap_ms"))
+    gap = F.when(width == infinite, infinite).otherwise(F.coalesce("gap", F.lit(0.0)) * F.lit(1000.0))
+    return result.select(*labels, gap.alias("gap_ms"))
+
+
+def recovery_report(df: DataFrame, by: str = "engine", key: str | Sequence[str] = "event_id") -> DataFrame:
+    """One row per fault run: records, distinct ids, duplicates and their rate, span and longest gap."""
+    records = stable(df, "fault-runs")
+    counts = distinct_vs_total(records, [by], key).select(F.col(by).alias("__run"), "distinct_ids", "span_s")
+    gaps = recovery_gap(records, [by]).withColumnRenamed(by, "__stalled")
+    report = duplicate_records(records, [by], key)
+    report = report.join(counts, F.col(by).eqNullSafe(F.col("__run"))).join(gaps, F.col(by).eqNullSafe(F.col("__stalled")))
+    return report.select(by, "total_records", "distinct_ids", "duplicate_records", "duplicated_ids", "duplicate_rate_pct",
+                         "span_s", "gap_ms")
 
 
 def _per_id(df: DataFrame, by: list[str], key: Sequence[str]) -> DataFrame:

@@ -134,7 +134,7 @@ def topic_backlog(samples: DataFrame, filter_pass: float = FILTER_PASS) -> DataF
     largest ``in_end - out_end / pass``, whatever the first sample is.
     """
     sample = F.struct("ts", "in_end", "out_end")
-    height = F.col("in_end") * F.lit(filter_pass).cast("decimal(10,6)") - F.col("out_end")
+    height = F.col("in_end") - F.col("out_end") / F.lit(float(filter_pass))
     facts = samples.groupBy("label").agg(
         F.count("*").alias("samples"), F.min(sample).alias("a"), F.max(sample).alias("z"),
         F.max_by(sample, height).alias("top"))

@@ -22,17 +22,17 @@ def latency_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resource_table(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.resource_table(Q.labelled_summaries(spark, sf), Q.engine_usage_totals(spark, sf))
+    return compare.resource_table(Q.labelled_throughput(spark, sf), Q.engine_usage_totals(spark, sf))
 
 
 def resource_backlog_table(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of pods and of summaries: the last one has neither pods nor offsets."""
-    labels = Q.labelled_summaries(spark, sf).select(F.col("engine").alias("label"))
+    labels = Q.labelled_throughput(spark, sf).select(F.col("engine").alias("label"))
     return compare.resource_backlog_table(labels, Q.pod_usage(spark, sf), Q.topic_backlog(spark, sf))
 
 
 def cost_table(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.cost_table(Q.labelled_summaries(spark, sf), Q.engine_usage_totals(spark, sf))
+    return compare.cost_table(Q.labelled_throughput(spark, sf), Q.engine_usage_totals(spark, sf))
 
 
 def speedup_ratio(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.cluster import scratch_path
 from tidemark.functions.clock import fixture_out_ts, fixture_recv_ts
 from tidemark.operators import latency, transform
 from tidemark.plans import testbed as B
-from tidemark.plans.latency_queries import SECONDS, WARMUP
+from tidemark.plans.latency_queries import WARMUP, WHOLE_RUN
 from tidemark.sources import runs
 
 
@@ -25,13 +25,13 @@ def summarise_transformed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "recv_ts": fixture_recv_ts("ts", "event_number"), "engine": B.two_runs("event_number")})
     path = scratch_path(spark, "flagship-latency")
     runs.latency_sink(latency.record_latency(received), path, "parquet")
-    summary = latency.run_summary(runs.latency_records(spark, path, "parquet"), SECONDS, WARMUP)
+    summary = latency.run_summary(runs.latency_records(spark, path, "parquet"), WHOLE_RUN, WARMUP)
     return latency.flatten_summary(latency.empty_run_flag(summary))
 
 
 QUERIES = {"summarise_transformed_events": summarise_transformed_events}
 
 ORACLES = {
-    "summarise_transformed_events": f"""WITH {B.RUN_SQL}, {B.summary_sql('rec', 'engine', SECONDS, WARMUP)}
+    "summarise_transformed_events": f"""WITH {B.RUN_SQL}, {B.summary_sql('rec', 'engine', WHOLE_RUN, WARMUP)}
         SELECT *, kept_records = 0 AS empty_run FROM summary""",
 }

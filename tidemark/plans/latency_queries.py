@@ -12,8 +12,10 @@ from tidemark.plans import testbed as B
 from tidemark.sources import runs
 
 DAY = 86_400
-# Window of the paced runs, in seconds.
+# Window of the paced runs, in seconds: records after it are cut off. That is what three queries show.
 SECONDS, WARMUP = 2000, 150
+# A window that ends after the run, for all the others.
+WHOLE_RUN = 3000
 
 
 def parse_output_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,17 +55,20 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return latency.run_summary(B.latency_records(spark, sf, B.PACE), SECONDS, WARMUP)
+    return latency.run_summary(B.latency_records(spark, sf, B.PACE), WHOLE_RUN, WARMUP)
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return latency.flatten_summary(_summaries(spark, sf))
+    """A third of the records carry no run: they are summarised as one of their own."""
+    named = F.when(F.col("event_id") % 3 > 0, F.col("engine"))
+    records = B.latency_records(spark, sf, B.PACE).withColumn("engine", named)
+    return latency.flatten_summary(latency.run_summary(records, SECONDS, WARMUP))
 
 
 def empty_run_flag(spark: SparkSession, sf: str) -> DataFrame:
-    """One run per hour of the day: a warm-up longer than an hour's records empties some."""
-    hour = F.date_format(F.timestamp_seconds("ts"), "HH")
-    records = B.latency_records(spark, sf).filter(F.col("ts") < F.lit(1704067200.0 + DAY)).withColumn("engine", hour)
+    """One run per day and hour: a warm-up of nearly an hour empties most."""
+    hour = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH")
+    records = B.latency_records(spark, sf).withColumn("engine", hour)
     summary = latency.run_summary(records, DAY, 3500)
     return latency.empty_run_flag(summary).select("engine", "kept_records", "seen_records", "empty_run",
                                                   F.col("e2e_ms.p99").alias("e2e_p99"))
@@ -77,6 +82,15 @@ def latency_csv_sink(spark: SparkSession, sf: str) -> DataFrame:
     return runs.latency_records(spark, path)
 
 
+def latency_file_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Records under ``<run>_latency.csv``, read back with the run of the name."""
+    path = scratch_path(spark, "latency-files")
+    records = B.latency_records(spark, sf).withColumn("file", F.concat("engine", F.lit("_latency.csv")))
+    records.select("recv_ts", "event_id", "ts", "out_ts", "pipeline_ms", "e2e_ms", "file").write.partitionBy(
+        "file").option("header", True).csv(path)
+    return runs.read_latency_files(spark, f"{path}/*_latency.csv")
+
+
 def summary_json_io(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries written one file per run and read back with their label."""
     path = scratch_path(spark, "summaries")
@@ -109,6 +123,10 @@ def recovery_gap_refined(spark: SparkSession, sf: str) -> DataFrame:
     return recovery.recovery_gap(B.latency_records(spark, sf), buckets=16)
 
 
+def recovery_report(spark: SparkSession, sf: str) -> DataFrame:
+    return recovery.recovery_report(B.duplicated_records(spark, sf))
+
+
 def duplicate_records(spark: SparkSession, sf: str) -> DataFrame:
     return recovery.duplicate_records(B.duplicated_records(spark, sf))
 
@@ -134,7 +152,7 @@ QUERIES = {
         parse_output_events, record_latency, drop_warmup, latency_percentiles, latency_percentiles_scalable,
         latency_percentiles_approx, throughput, run_summary, empty_run_flag, latency_csv_sink, summary_json_io,
         log_summary_extract, summary_prefer, recovery_gap, recovery_gap_refined, duplicate_records,
-        distinct_vs_total, duplicates_by_producer,
+        distinct_vs_total, duplicates_by_producer, latency_file_source, recovery_report,
     )
 }
 
@@ -144,7 +162,11 @@ _FIGURES = " UNION ALL ".join(
       {B.fixed(f'max({c})', 3)} AS max, {B.fixed(f'avg({c})', 3)} AS mean FROM rec GROUP BY engine"""
     for c in LATENCIES
 )
-_SUMMARY = f"{B.RUN_SQL}, {B.summary_sql('rec', 'engine', SECONDS, WARMUP)}"
+_SUMMARY = f"{B.RUN_SQL}, {B.summary_sql('rec', 'engine', WHOLE_RUN, WARMUP)}"
+_WINDOW = f"{B.RUN_SQL}, {B.summary_sql('rec', 'engine', SECONDS, WARMUP)}"
+_NULL_RUN = f"""{B.RUN_SQL}, named AS (
+  SELECT * REPLACE (CASE WHEN event_id % 3 > 0 THEN engine END AS engine) FROM rec),
+  {B.summary_sql('named', 'engine', SECONDS, WARMUP)}"""
 _GAP = f"""WITH {B.LATENCY_SQL}, steps AS (
   SELECT engine, recv_ts - lag(recv_ts) OVER (PARTITION BY engine ORDER BY recv_ts) AS step FROM rec)
   SELECT engine, coalesce(max(step), 0) * 1000::DOUBLE AS gap_ms FROM steps GROUP BY engine"""
@@ -159,7 +181,7 @@ def _duplicates(key: str, source: str = "dup") -> str:
 
 ORACLES = {
     "parse_output_events": f"""WITH {B.LATENCY_SQL} SELECT engine, recv_ts, CAST(event_id AS VARCHAR) AS event_id,
-        ts, out_ts FROM rec WHERE event_id % 50 NOT IN (0, 2)""",
+        ts, out_ts FROM rec WHERE event_id % 50 NOT IN (0, 2, 3, 4)""",
     "record_latency": f"WITH {B.LATENCY_SQL} SELECT * FROM rec",
     "drop_warmup": f"""WITH {B.RUN_SQL}, begun AS (
         SELECT *, recv_ts - min(recv_ts) OVER (PARTITION BY engine) AS since FROM rec)
@@ -167,11 +189,11 @@ ORACLES = {
         WHERE since >= {WARMUP} AND since < {SECONDS}""",
     "latency_percentiles": f"WITH {B.LATENCY_SQL} {_FIGURES}",
     "latency_percentiles_scalable": f"WITH {B.LATENCY_SQL} {_FIGURES}",
-    "throughput": f"WITH {_SUMMARY} SELECT engine, kept_records, seen_records, throughput_eps FROM summary",
-    "run_summary": f"WITH {_SUMMARY} SELECT * FROM summary",
+    "throughput": f"WITH {_WINDOW} SELECT engine, kept_records, seen_records, throughput_eps FROM summary",
+    "run_summary": f"WITH {_NULL_RUN} SELECT * FROM summary",
     "empty_run_flag": f"""WITH {B.LATENCY_SQL},
-        hourly AS (SELECT *, strftime(make_timestamp(CAST(floor(ts) AS BIGINT) * 1000000), '%H') AS hour
-          FROM rec WHERE ts < 1704067200 + {DAY}),
+        hourly AS (SELECT *, strftime(make_timestamp(CAST(floor(ts) AS BIGINT) * 1000000), '%Y-%m-%d %H') AS hour
+          FROM rec),
         {B.summary_sql('hourly', 'hour', DAY, 3500)}
         SELECT engine, kept_records, seen_records, kept_records = 0 AS empty_run, e2e_p99 FROM summary""",
     "latency_csv_sink": f"""WITH {B.LATENCY_SQL} SELECT engine, CAST(event_id AS VARCHAR) AS event_id,
@@ -181,6 +203,15 @@ ORACLES = {
     "log_summary_extract": f"WITH {_SUMMARY} SELECT engine AS label, * FROM summary",
     "summary_prefer": f"""WITH {_SUMMARY} SELECT engine AS label, * REPLACE
         (CASE WHEN engine = 'run_a' THEN topic ELSE 'from-log' END AS topic) FROM summary""",
+    "latency_file_source": f"""WITH {B.LATENCY_SQL} SELECT engine, CAST(event_id AS VARCHAR) AS event_id, recv_ts, ts,
+        out_ts, pipeline_ms, e2e_ms FROM rec""",
+    "recovery_report": f"""WITH {B.DUPLICATED_SQL},
+        copies AS ({_duplicates('event_id')}),
+        spans AS (SELECT engine, count(DISTINCT event_id) AS distinct_ids, max(recv_ts) - min(recv_ts) AS span_s
+          FROM dup GROUP BY engine),
+        steps AS (SELECT engine, recv_ts - lag(recv_ts) OVER (PARTITION BY engine ORDER BY recv_ts) AS step FROM dup),
+        gaps AS (SELECT engine, coalesce(max(step), 0) * 1000::DOUBLE AS gap_ms FROM steps GROUP BY engine)
+        SELECT * FROM copies JOIN spans USING (engine) JOIN gaps USING (engine)""",
     "recovery_gap": _GAP,
     "recovery_gap_refined": _GAP,
     "duplicate_records": f"WITH {B.DUPLICATED_SQL} {_duplicates('event_id')}",

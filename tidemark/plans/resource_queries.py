@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions.rounding import round_columns
 from tidemark.operators import latency, resources
 from tidemark.plans import testbed as B
-from tidemark.plans.latency_queries import SECONDS, WARMUP
+from tidemark.plans.latency_queries import WARMUP, WHOLE_RUN
 from tidemark.sources import runs
 
 
@@ -49,11 +49,17 @@ def pod_usage_full_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return latency.run_summary(B.labelled_records(spark, sf), SECONDS, WARMUP)
+    return latency.run_summary(B.labelled_records(spark, sf), WHOLE_RUN, WARMUP)
+
+
+def labelled_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """What cost and usage need of the summaries: no percentiles."""
+    tagged = latency.tag_phase(B.labelled_records(spark, sf), WARMUP, WHOLE_RUN)
+    return latency.throughput(tagged, WHOLE_RUN, WARMUP)
 
 
 def cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return resources.cost_estimate(engine_usage_totals(spark, sf), labelled_summaries(spark, sf))
+    return resources.cost_estimate(engine_usage_totals(spark, sf), labelled_throughput(spark, sf))
 
 
 def topic_backlog(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +130,7 @@ backlogs AS (
   FROM held GROUP BY label HAVING count(*) >= 2
 )"""
 
-LABELLED_SUMMARY_SQL = B.summary_sql("rec", B.LABELS_SQL, SECONDS, WARMUP)
+LABELLED_SUMMARY_SQL = B.summary_sql("rec", B.LABELS_SQL, WHOLE_RUN, WARMUP)
 SUMMARY_AND_TOTALS_SQL = (
     f"{B.RUN_SQL}, {LABELLED_SUMMARY_SQL}, {USAGE_SQL.removeprefix(B.EVENTS_SQL).lstrip(',')}"
 )

@@ -142,14 +142,16 @@ def duplicated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded output events with their receive time; one in 50 has a bad stamp."""
+    """Encoded output events with their receive time; a few in 50 have a bad stamp or text behind them."""
     kept = transform.filter_purchase_intent(events(spark, sf_dir))
     encoded = transform.enrich(kept, fixture_out_ts()).select("event_id", "ts", "out_ts")
     good = F.to_json(F.struct("event_id", "ts", "out_ts"))
     as_text = F.to_json(F.struct("event_id", F.col("ts").cast("string").alias("ts"), "out_ts"))
     bad = F.to_json(F.struct("event_id", F.lit("soon").alias("ts"), "out_ts"))
+    typed = F.to_json(F.struct("event_id", F.concat(F.col("ts").cast("string"), F.lit("d")).alias("ts"), "out_ts"))
     kind = F.col("event_id") % 50
-    value = F.when(kind == 0, bad).when(kind == 1, as_text).when(kind == 2, F.lit("{}")).otherwise(good)
+    value = (F.when(kind == 0, bad).when(kind == 1, as_text).when(kind == 2, F.lit("{}")).when(kind == 3, typed)
+             .when(kind == 4, F.concat(good, F.lit(" more"))).otherwise(good))
     return encoded.select(two_runs().alias("engine"), fixture_recv_ts().alias("recv_ts"), value.alias("value"))
 
 
@@ -311,9 +313,9 @@ def consumer_log_files(spark: SparkSession, summaries: DataFrame) -> str:
     body = F.to_json(F.struct(*[c for c in summaries.columns]), {"pretty": "true", "ignoreNullFields": "false"})
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("[consumer] topic="), F.col("topic"), F.lit(" engine="), F.col("engine")),
-        F.concat(F.lit("[consumer] seen="), F.col("seen_records").cast("string"), F.lit(" (steady)")),
-        F.lit(""), F.lit("===== LATENCY SUMMARY ====="), body, F.lit("[consumer] done"),
+        F.concat(F.lit("measuring run "), F.col("engine"), F.lit(" on "), F.col("topic")),
+        F.concat(F.col("seen_records").cast("string"), F.lit(" records so far")),
+        F.lit(""), F.lit("figures of the run"), body, F.lit("end of log"),
     )
     path = scratch_path(spark, "logs")
     file = F.concat(F.col("engine"), F.lit("_consumer.log"))

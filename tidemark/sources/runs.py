@@ -34,17 +34,21 @@ def _plain_path(uri: Column) -> Column:
 # --- latency records -----------------------------------------------------------------
 
 
+def _fixed_text(column: str) -> Column:
+    decimal = round_nearest(column, _DECIMALS[column]).try_cast(f"decimal(22,{_DECIMALS[column]})")
+    return F.coalesce(decimal.cast("string"), F.col(column).cast("string"))
+
+
 def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine", mode: str = "overwrite",
                  max_records_per_file: int = 0) -> None:
     """Write every record, warm-up included, one folder per run.
 
     Rows are written where they are, without a shuffle: a large run becomes many files,
-    never one task. CSV has fixed decimals, and no entry for NaN; Parquet keeps the doubles.
+    never one task. CSV has fixed decimals; NaN, infinities and what 22 digits do not hold
+    are written as the text of the double. Parquet keeps the doubles.
     """
     if fmt == "csv":
-        fixed = [round_nearest(c, _DECIMALS[c]).try_cast(f"decimal(22,{_DECIMALS[c]})").alias(c)
-                 if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS]
-        df = df.select(by, *fixed)
+        df = df.select(by, *[_fixed_text(c).alias(c) if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS])
     else:
         df = df.select(by, *LATENCY_RECORD_COLUMNS)
     writer = df.write.format(fmt).mode(mode).partitionBy(by)
@@ -64,6 +68,17 @@ def latency_records(spark: SparkSession, path: str, fmt: str = "csv", by: str =
     return reader.format(fmt).load(path).filter("recv_ts IS NOT NULL")
 
 
+def read_latency_files(spark: SparkSession, paths: str | list[str], by: str = "engine") -> DataFrame:
+    """Records of ``<run>_latency.csv`` files (or folders of that name), with the run of the name.
+
+    Columns are recv_ts, event_id, ts, out_ts, pipeline_ms, e2e_ms under a header; rows
+    without a receive time are dropped.
+    """
+    schema = "recv_ts double, event_id string, ts double, out_ts double, pipeline_ms double, e2e_ms double"
+    read = spark.read.schema(schema).option("header", True).csv(paths)
+    return read.select("*", _file_label("latency.csv").alias(by)).filter("recv_ts IS NOT NULL")
+
+
 # --- summaries -----------------------------------------------------------------------
 
 
