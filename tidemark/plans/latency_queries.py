@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.cluster import scratch_path
+from tidemark.cluster import join_small, scratch_path, settle
+from tidemark.contract import QUANTILES
+from tidemark.functions.rounding import round_nearest
 from tidemark.operators import latency, recovery
 from tidemark.operators.latency import LATENCIES
 from tidemark.plans import testbed as B
@@ -16,6 +18,7 @@ DAY = 86_400
 SECONDS, WARMUP = 2000, 150
 # A window that ends after the run, for all the others.
 WHOLE_RUN = 3000
+ACCURACY = 10_000
 
 
 def parse_output_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +48,18 @@ def latency_percentiles_scalable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_percentiles_approx(spark: SparkSession, sf: str) -> DataFrame:
-    """``percentile_approx``: no SQL counterpart with the same sketch."""
-    return latency.latency_percentiles_scalable(_latencies(spark, sf), "ms", ["engine", "metric"], method="approx")
+    """Whether the ranks of the sketch's figures are off by at most n / ``ACCURACY``."""
+    by = ["engine", "metric"]
+    values = _latencies(spark, sf)
+    told = settle(latency.latency_percentiles_scalable(values, "ms", by, method="approx", accuracy=ACCURACY))
+    ranked = join_small(values.select(*by, round_nearest("ms", 3).alias("ms")), told, by)
+    ranks = ranked.groupBy(*by, "count", "max").agg(*[
+        f for name, _ in QUANTILES for f in (F.count_if(F.col("ms") < F.col(name)).alias(f"{name}_below"),
+                                             F.count_if(F.col("ms") <= F.col(name)).alias(f"{name}_upto"))])
+    slack = F.col("count") / ACCURACY
+    return ranks.select(*by, "count", "max", *[
+        F.ceil(F.col("count") * q).between(F.col(f"{name}_below") - slack, F.col(f"{name}_upto") + slack).alias(f"{name}_near")
+        for name, q in QUANTILES])
 
 
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,6 +202,8 @@ ORACLES = {
         WHERE since >= {WARMUP} AND since < {SECONDS}""",
     "latency_percentiles": f"WITH {B.LATENCY_SQL} {_FIGURES}",
     "latency_percentiles_scalable": f"WITH {B.LATENCY_SQL} {_FIGURES}",
+    "latency_percentiles_approx": f"""WITH {B.LATENCY_SQL} SELECT engine, metric, count, max,
+        true AS p50_near, true AS p95_near, true AS p99_near FROM ({_FIGURES})""",
     "throughput": f"WITH {_WINDOW} SELECT engine, kept_records, seen_records, throughput_eps FROM summary",
     "run_summary": f"WITH {_NULL_RUN} SELECT * FROM summary",
     "empty_run_flag": f"""WITH {B.LATENCY_SQL},

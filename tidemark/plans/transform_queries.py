@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,12 @@ def upper_country(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stamp_out_ts(spark: SparkSession, sf: str) -> DataFrame:
-    """Wall clock per row: no SQL counterpart."""
-    return transform.stamp_out_ts(B.events(spark, sf)).select("event_id", "ts", "out_ts")
+    """What holds for every row's wall clock; clocks of a cluster may differ by a minute."""
+    start = time.time() - 60
+    stamped = transform.stamp_out_ts(B.events(spark, sf))
+    return stamped.select("event_id", "ts", F.col("out_ts").isNotNull().alias("stamped"),
+                          (F.col("out_ts") == F.round(F.col("out_ts") * 1000) / 1000).alias("whole_milliseconds"),
+                          (F.col("out_ts") >= start).alias("after_start"))
 
 
 def carry_ts(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +141,8 @@ _TRANSFORMED = f"WITH {B.EVENTS_SQL} SELECT {_OUTPUT_SQL} FROM m WHERE {B.PASS_S
 _KEYED = f"WITH {B.EVENTS_SQL} SELECT CAST(user_id AS VARCHAR) AS key, {_OUTPUT_SQL} FROM m WHERE {B.PASS_SQL}"
 
 ORACLES = {
+    "stamp_out_ts": f"""WITH {B.EVENTS_SQL} SELECT event_id, ts, true AS stamped, true AS whole_milliseconds,
+        true AS after_start FROM m""",
     "decode_events": f"WITH {B.EVENTS_SQL} SELECT * FROM m",
     "filter_purchase_intent": f"WITH {B.EVENTS_SQL} SELECT * FROM m WHERE {B.PASS_SQL}",
     "amount_with_tax": f"WITH {B.EVENTS_SQL} SELECT event_id, amount, {B.TAX_SQL} AS amount_with_tax FROM m",
