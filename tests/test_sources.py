@@ -146,6 +146,11 @@ def test_kafka_intake_is_bounded_in_microbatch_mode_only():
         kafka.source_options("broker:9092", mode="batch")
 
 
+def test_a_topic_is_read_in_as_many_tasks_as_asked_for():
+    assert kafka.batch_options("broker:9092", "output-events", 400)["minPartitions"] == "400"
+    assert "minPartitions" not in kafka.batch_options("broker:9092", "output-events")
+
+
 def test_kafka_sink_options():
     sink = kafka.keyed_kafka_sink("broker:9092")
     assert sink.format == "kafka" and dict(sink.options) == {"kafka.bootstrap.servers": "broker:9092", "topic": "output-events"}

@@ -111,7 +111,7 @@ def test_streaming_plan_has_no_exchange(spark, tmp_path):
 def test_unknown_mode(spark, tmp_path):
     source, target, checkpoint = paths(tmp_path)
     generate.events_to_kafka_records(generate.synthetic_events(spark, 5)).write.parquet(source)
-    with pytest.raises(ValueError, match="unknown mode"):
+    with pytest.raises(ValueError, match="is no mode"):
         run(stream(spark, source), "continuous", file_sink(target), checkpoint)
 
 

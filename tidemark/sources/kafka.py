@@ -19,7 +19,7 @@ def source_options(bootstrap: str, topic: str = INPUT_TOPIC, mode: str = "microb
     ``maxOffsetsPerTrigger`` may not be set in real-time mode.
     """
     if mode not in ("microbatch", "rtm"):
-        raise ValueError(f"unknown mode {mode!r}, use 'rtm' or 'microbatch'")
+        raise ValueError(f"{mode!r} is no mode: real-time is 'rtm', batches are 'microbatch'")
     options = {"kafka.bootstrap.servers": bootstrap, "subscribe": topic, "startingOffsets": starting_offsets}
     if mode == "microbatch" and max_offsets:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
@@ -33,14 +33,21 @@ def kafka_event_source(spark: SparkSession, bootstrap: str, topic: str = INPUT_T
     return spark.readStream.format("kafka").options(**options).load().select("value")
 
 
-def kafka_batch_source(spark: SparkSession, bootstrap: str, topic: str) -> DataFrame:
+def batch_options(bootstrap: str, topic: str, min_partitions: int | None = None) -> dict[str, str]:
+    """Reader options; Spark cuts topic partitions up to reach ``min_partitions`` tasks."""
+    options = {"kafka.bootstrap.servers": bootstrap, "subscribe": topic,
+               "startingOffsets": "earliest", "endingOffsets": "latest"}
+    return {**options, "minPartitions": str(min_partitions)} if min_partitions else options
+
+
+def kafka_batch_source(spark: SparkSession, bootstrap: str, topic: str, min_partitions: int | None = None) -> DataFrame:
     """All retained records of a topic, for analytics over a finished run.
 
-    ``recv_ts`` is the broker's record time in epoch seconds.
+    ``recv_ts`` is the record's time in epoch seconds. Only a topic with
+    ``message.timestamp.type=LogAppendTime`` holds the broker's arrival time; otherwise the
+    producer has set it, and ``e2e_ms`` lacks the way to the broker.
     """
-    options = {"kafka.bootstrap.servers": bootstrap, "subscribe": topic,
-               "startingOffsets": "earliest", "endingOffsets": "latest"}
-    records = spark.read.format("kafka").options(**options).load()
+    records = spark.read.format("kafka").options(**batch_options(bootstrap, topic, min_partitions)).load()
     return records.selectExpr("value", "unix_micros(timestamp) / 1000000D AS recv_ts")
 
 

@@ -60,7 +60,7 @@ def run(df: DataFrame, mode: str, sink: Sink, checkpoint: str, trigger: str = "5
         return run_realtime(df, sink, checkpoint, trigger, name)
     if mode == "microbatch":
         return run_microbatch(df, sink, checkpoint, available_now, name)
-    raise ValueError(f"unknown mode {mode!r}, use 'rtm' or 'microbatch'")
+    raise ValueError(f"{mode!r} is no mode: real-time is 'rtm', batches are 'microbatch'")
 
 
 def batch_durations(query: StreamingQuery) -> list[dict]:
