@@ -11,8 +11,11 @@ from tidemark.llm import (
     embedding_dedup,
     language_id,
     line_dedup,
+    merkle_manifest,
     ngram_jaccard,
     packing,
+    phrase_mining,
+    prefix_forest,
     quality_classifier,
     quality_rules,
     sentencepiece_scan,
@@ -92,6 +95,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2048)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words keep company most."""
+    return phrase_mining.phrases(_table(spark, sf_dir, "documents"), 100, 5, 2000)
+
+
+def op12_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return prefix_forest.nearest(_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness of every document, and whether the witness still holds where line ends were deleted from half of them."""
+    documents = _table(spark, sf_dir, "documents").select(*merkle_manifest.FIELDS)
+    cut = merkle_manifest.leaf_digest(text=F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = merkle_manifest.manifest(documents.withColumn("tampered", F.when(chosen, cut)), ["tampered"])
+    found = merkle_manifest.folded(rows.withColumn("shown", F.coalesce("tampered", "leaf")), "shown", "folded_root")
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return found.select("doc_id", *digests, F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_quality_rules, op4_ngram_jaccard, op5_substring_dedup, op6_language_id,
-                                   op7_sentencepiece, op8_embedding_dedup, op9_token_counts, op10_packing)}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE}
+                                   op7_sentencepiece, op8_embedding_dedup, op9_token_counts, op10_packing, op11_phrase_mining,
+                                   op12_prefix_forest, op13_merkle_manifest)}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE}
