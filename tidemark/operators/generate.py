@@ -1,7 +1,8 @@
 """Synthetic events as a Spark job.
 
-Every value is a hash of the event id and the seed, so the rows do not depend on how the
-job is partitioned and a retried task produces the same ones.
+Every value is integer arithmetic on the event's counter and the seed, so the rows do not depend on
+how the job is partitioned, a retried task produces the same ones, and any engine with 64-bit integers
+computes them: ``draw_sql`` is the same text for Spark and for other SQL.
 """
 
 from __future__ import annotations
@@ -16,9 +17,33 @@ from tidemark.functions import records as R
 from tidemark.operators.transform import pad_payload
 
 
+# A prime below 2**31: products of two remainders fit 64 bits. Its predecessor is not divisible by 5,
+# so the fifth power is a permutation of the remainders.
+PRIME = 2_147_483_647
+STEP = 48_271
+ROUND_STEP = 40_692
+SEED_STEP = 69_621
+STREAM_STEP = 1_103_515_245
+
+
+def draw_sql(seq: str, seed: int, stream: int, size: int, div: str = "div") -> str:
+    """SQL text: an integer in [0, size) for the counter ``seq`` >= 0; ``div`` is the engine's integer division.
+
+    The counter moves along the remainders of a prime in equal steps, the fifth power scatters them, and the
+    result is scaled to the size. Streams and seeds begin elsewhere. After ``PRIME`` counters the steps begin
+    anew with another start. Sizes up to 2**32 are admitted.
+    """
+    if not 0 < size <= 1 << 32:
+        raise ValueError("size must be 1 to 2**32")
+    start = (seed * SEED_STEP + stream * STREAM_STEP) % PRIME
+    x = f"(({seq} % {PRIME} * {STEP} + ({seq} {div} {PRIME}) % {PRIME} * {ROUND_STEP} + {start}) % {PRIME})"
+    square = f"({x} * {x} % {PRIME})"
+    fifth = f"({square} * {square} % {PRIME} * {x} % {PRIME})"
+    return f"({fifth} * {size} {div} {PRIME})"
+
+
 def _draw(seed: int, stream: int, size: int) -> Column:
-    """Uniform integer in [0, size) for the row's sequence number."""
-    return F.pmod(F.xxhash64(F.col("__seq"), F.lit(seed), F.lit(stream)), F.lit(size))
+    return F.expr(draw_sql("__seq", seed, stream, size))
 
 
 def _pick(values, index: Column) -> Column:

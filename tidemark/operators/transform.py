@@ -6,7 +6,7 @@ is the per-row wall clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +141,37 @@ def transform_events(raw: DataFrame, clock: Column | None = None, on_error: str
     )
 
 
+COUNTS = ("received", "decoded", "rejected_null", "rejected_blank", "rejected_undecodable", "passed")
+
+
+def transform_counted(raw: DataFrame, counts: Observation | str, clock: Column | None = None, rounding: str = "decimal",
+                      key_format: str = "string", keep_nulls: bool = False) -> DataFrame:
+    """``transform_events`` that counts what it does in the same pass over the records.
+
+    ``counts`` is an ``Observation`` for a batch, or a name under which a stream's progress reports (see
+    ``execute.observed_counts``). Counted are the records received, decoded cleanly, rejected by reason (as
+    ``rejects`` tells them apart) and passed on. A rejected record may pass: one with a bad optional field is
+    kept. Every record is parsed once; the look at the undecoded text, which spares ``transform_events`` most
+    of the parsing, is not taken. Spark evaluates the counts once per finished job or batch; a job that is
+    run again counts again.
+    """
+    text = F.col("value").cast("string")
+    missing = F.col("value").isNull()
+
+    def judged(e: Column) -> Column:
+        reason = F.when(missing, "null").when(e.isNull(), "blank").when(e[R.CORRUPT].isNotNull(), "undecodable")
+        passed = F.coalesce(R.is_purchase_intent(e["event_type"], e["amount"]), F.lit(False))
+        return F.struct(reason.alias("__reason"), passed.alias("__passed"), *[e[f].alias(f) for f in INPUT_EVENT.fieldNames()])
+
+    # One-element array, as in the transform: one JSON parse per record.
+    records = raw.select(F.inline(F.transform(F.array(R.decode(text, keep_corrupt=True)), judged)))
+    reason = F.col("__reason")
+    figures = [F.count("*"), F.count_if(reason.isNull()), *[F.count_if(reason == r) for r in ("null", "blank", "undecodable")], F.count_if(F.col("__passed"))]
+    observed = records.observe(counts, *[f.alias(n) for f, n in zip(figures, COUNTS)])
+    events = enrich(observed.filter("__passed").drop("__reason", "__passed"), clock, rounding)
+    return events.select(R.user_key("user_id", key_format).alias("key"), R.encode(OUTPUT_COLUMNS, keep_nulls).alias("value"))
+
+
 def transform_events_sql(spark: SparkSession, view: str, out_ts: str | None = None) -> DataFrame:
     """The same transform as SQL text over a view with a ``value`` column."""
     stamp = out_ts or "CAST(reflect('java.lang.System', 'currentTimeMillis') AS DOUBLE) / 1000D"

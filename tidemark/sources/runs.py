@@ -6,9 +6,12 @@ when Spark wrote the artifact.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.cluster import join_small, settle
 from tidemark.contract import CONTAINER_STATS_TEXT, LATENCY_RECORD_COLUMNS, RUN_SUMMARY
 from tidemark.functions.rounding import round_nearest
 from tidemark.functions.usage import millicores, pod_memory_mib
@@ -39,6 +42,11 @@ def _fixed_text(column: str) -> Column:
     return F.coalesce(decimal.cast("string"), F.col(column).cast("string"))
 
 
+def latency_text(df: DataFrame, by: str = "engine", carry: Sequence[str] = ()) -> DataFrame:
+    """The columns of a latency file as text with fixed decimals, for a batch or a stream."""
+    return df.select(by, *carry, *[_fixed_text(c).alias(c) if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS])
+
+
 def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine", mode: str = "overwrite",
                  max_records_per_file: int = 0) -> None:
     """Write every record, warm-up included, one folder per run.
@@ -47,10 +55,7 @@ def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine",
     never one task. CSV has fixed decimals; NaN, infinities and what 22 digits do not hold
     are written as the text of the double. Parquet keeps the doubles.
     """
-    if fmt == "csv":
-        df = df.select(by, *[_fixed_text(c).alias(c) if c in _DECIMALS else F.col(c) for c in LATENCY_RECORD_COLUMNS])
-    else:
-        df = df.select(by, *LATENCY_RECORD_COLUMNS)
+    df = latency_text(df, by) if fmt == "csv" else df.select(by, *LATENCY_RECORD_COLUMNS)
     writer = df.write.format(fmt).mode(mode).partitionBy(by)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -59,9 +64,12 @@ def latency_sink(df: DataFrame, path: str, fmt: str = "csv", by: str = "engine",
     writer.save(path)
 
 
-def latency_records(spark: SparkSession, path: str, fmt: str = "csv", by: str = "engine") -> DataFrame:
-    """Read what ``latency_sink`` wrote; rows without a receive time are dropped."""
-    schema = f"recv_ts double, event_id string, ts double, out_ts double, pipeline_ms double, e2e_ms double, {by} string"
+def latency_records(spark: SparkSession, path: str, fmt: str = "csv", by: str = "engine", more: Sequence[str] = ()) -> DataFrame:
+    """Read what ``latency_sink`` wrote; rows without a receive time are dropped.
+
+    ``more`` are further columns (name and type) by which the files are laid out below the run.
+    """
+    schema = ", ".join(["recv_ts double, event_id string, ts double, out_ts double, pipeline_ms double, e2e_ms double", f"{by} string", *more])
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -95,10 +103,29 @@ def read_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read.select(_file_label("summary.json").alias("label"), *RUN_SUMMARY.fieldNames())
 
 
+# Characters of the part of a log that may be a summary; a summary has a few hundred.
+SUMMARY_CHARS = 1 << 24
+
+
 def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Consumer logs, one row per file: label and whole text."""
-    logs = spark.read.text(paths, wholetext=True)
-    return logs.select(_file_label("consumer.log").alias("label"), F.col("value").alias("text"))
+    """Consumer logs, one row per file that may hold a summary: label and the lines that may.
+
+    These are the lines from the first that holds ``{`` to the last that holds ``}``. A log of any size is
+    read in splits: a first pass finds both lines by their place, a second keeps the lines between them, and
+    only these are put together. A log without such lines, or with more than ``SUMMARY_CHARS`` between them,
+    has no row. Line ends are read as ``\\n``.
+    """
+    # Lines of a split are numbered in order, and splits by where they begin: a line's place in its file.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), _file_label("consumer.log").alias("label"), place.alias("place"), F.col("value").alias("text"))
+    spans = settle(lines.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("{")), F.col("place"))).alias("first"),
+                                             F.max(F.when(F.contains("text", F.lit("}")), F.col("place"))).alias("last")).filter("first <= last"))
+    between = join_small(lines, spans, ["path"], F.col("place").between(F.col("first"), F.col("last")))
+    sizes = settle(between.groupBy("path").agg(F.sum(F.length("text") + 1).alias("chars")).filter(F.col("chars") <= SUMMARY_CHARS))
+    kept = join_small(between.drop("first", "last"), sizes.select("path"), ["path"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), "\n")
+    return kept.groupBy("path").agg(F.first("label").alias("label"), joined.alias("text")).select("label", "text")
 
 
 def log_summary_extract(logs: DataFrame) -> DataFrame:
