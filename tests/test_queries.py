@@ -22,7 +22,7 @@ from tidemark.plans import registry  # noqa: E402
 contract = load("__spark_entry__.py", "spark_entry")
 checker = load("tools/check_oracles.py", "check_oracles")
 
-WITHOUT_SQL = {"synthetic_events"}
+WITHOUT_SQL = set()
 
 
 def test_only_inexpressible_queries_lack_sql():

@@ -10,12 +10,14 @@ from tidemark.plans import (
     compare_queries,
     flagship,
     latency_queries,
+    live_queries,
     resource_queries,
     streaming_queries,
     transform_queries,
 )
 
-_AREAS = (flagship, transform_queries, streaming_queries, latency_queries, resource_queries, compare_queries)
+_AREAS = (flagship, transform_queries, streaming_queries, latency_queries, live_queries, resource_queries,
+          compare_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,7 +54,7 @@ def mode_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return _delivered(spark, target)
 
 
-def bounded_intake(spark: SparkSession, sf: str) -> DataFrame:
+def bounded_file_intake(spark: SparkSession, sf: str) -> DataFrame:
     """Eight source files, taken at most three at a time."""
     source, target, checkpoint = _paths(spark, "bounded")
     B.raw_records(spark, sf).repartition(8).write.parquet(source)
@@ -117,7 +117,7 @@ def delivery_at_least_once(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        run_microbatch, mode_dispatch, bounded_intake, keyed_event_sink, resume_from_checkpoint,
+        run_microbatch, mode_dispatch, bounded_file_intake, keyed_event_sink, resume_from_checkpoint,
         delivery_at_least_once,
     )
 }
@@ -127,7 +127,7 @@ _KEYED = TRANSFORM_ORACLES["transform_events"]
 ORACLES = {
     "run_microbatch": _KEYED,
     "mode_dispatch": _KEYED,
-    "bounded_intake": _KEYED,
+    "bounded_file_intake": _KEYED,
     "keyed_event_sink": f"""SELECT key, count(*) AS records, min(event_id) AS first_event,
         max(event_id) AS last_event FROM ({_KEYED}) GROUP BY key""",
     "resume_from_checkpoint": _KEYED,

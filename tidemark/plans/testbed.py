@@ -23,6 +23,8 @@ EVENTS_TABLE = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 # The table spreads its events over a month. Divided by this, their times make a run of
 # three quarters of an hour, in which a rate per second means something.
 PACE = 1000
+# Seconds of a window that ends after the paced run.
+WHOLE_RUN = 3000
 
 
 def _events_sql(pace: int) -> str:
@@ -321,3 +323,17 @@ def consumer_log_files(spark: SparkSession, summaries: DataFrame) -> str:
     file = F.concat(F.col("engine"), F.lit("_consumer.log"))
     summaries.select(text.alias("value"), file.alias("file")).write.partitionBy("file").text(path)
     return f"{path}/*_consumer.log"
+
+
+def long_log_files(spark: SparkSession, summaries: DataFrame, records: DataFrame) -> str:
+    """Write one consumer log per run with a line per record, before and after its summary."""
+    body = F.to_json(F.struct(*summaries.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    printed = summaries.select("engine", F.lit(1).alias("part"), F.lit(0.0).alias("at"), body.alias("value"))
+    line = F.concat(F.lit("record "), F.col("event_id").cast("string"), F.lit(" after "), F.col("e2e_ms").cast("string"), F.lit(" ms"))
+    lines = records.select("engine", F.when(F.col("event_id") % 4 == 0, 2).otherwise(0).alias("part"), F.col("recv_ts").alias("at"), line.alias("value"))
+    path = scratch_path(spark, "long-logs")
+    file = F.concat("engine", F.lit("_consumer.log"))
+    # a log is one file, so its run is written by one task
+    logs = lines.unionByName(printed).withColumn("file", file).repartition("file").sortWithinPartitions("file", "part", "at")
+    logs.select("value", "file").write.partitionBy("file").text(path)
+    return f"{path}/*_consumer.log"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.cluster import scratch_path
-from tidemark.contract import INPUT_EVENT, OUTPUT_EVENT
+from tidemark.contract import AMOUNT_MAX, COUNTRIES, EVENT_TYPES, INPUT_EVENT, OUTPUT_EVENT, USER_COUNT
 from tidemark.functions.clock import fixture_out_ts
 from tidemark.functions.records import decode
 from tidemark.operators import generate, transform
@@ -119,7 +119,7 @@ def replay_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def synthetic_events(spark: SparkSession, sf: str) -> DataFrame:
-    """One synthetic event per row of the events table, from two producers: no SQL counterpart."""
+    """One synthetic event per row of the events table, from two producers."""
     ids = spark.read.schema(B.EVENTS_TABLE).parquet(f"{sf}/events.parquet").select("event_id")
     return generate.events_from_ids(ids, "event_id", seed=42, producers=2)
 
@@ -137,10 +137,22 @@ QUERIES = {
     )
 }
 
+def _drawn(stream: int, size: int) -> str:
+    return generate.draw_sql("event_id", 42, stream, size, "//")
+
+
+def _listed(values, stream: int) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[1 + {_drawn(stream, len(values))}]"
+
+
 _TRANSFORMED = f"WITH {B.EVENTS_SQL} SELECT {_OUTPUT_SQL} FROM m WHERE {B.PASS_SQL}"
 _KEYED = f"WITH {B.EVENTS_SQL} SELECT CAST(user_id AS VARCHAR) AS key, {_OUTPUT_SQL} FROM m WHERE {B.PASS_SQL}"
 
 ORACLES = {
+    "synthetic_events": f"""SELECT event_id // 2 + 1 AS event_id, {_drawn(1, USER_COUNT)} + 1 AS user_id,
+        {_listed(EVENT_TYPES, 2)} AS event_type, {_listed(COUNTRIES, 3)} AS country,
+        CAST({_drawn(4, int(AMOUNT_MAX * 100) + 1)} AS DOUBLE) / 100::DOUBLE AS amount,
+        1750000000::DOUBLE + CAST(event_id AS DOUBLE) / 10000::DOUBLE AS ts, CAST(event_id % 2 AS INTEGER) AS producer FROM events""",
     "stamp_out_ts": f"""WITH {B.EVENTS_SQL} SELECT event_id, ts, true AS stamped, true AS whole_milliseconds,
         true AS after_start FROM m""",
     "decode_events": f"WITH {B.EVENTS_SQL} SELECT * FROM m",
