@@ -253,7 +253,8 @@ def _tile(sim: Similarity):
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, forest.label, ids)
         root = least[forest.label]
-        lower = root < ids
+        lower = np.unique(ids, return_index=True)[1]  # rows of one id stand together
+        lower = lower[root[lower] < ids[lower]]
         return pa.table({"a": ids[lower], "b": root[lower]})
     return run
 
@@ -287,6 +288,8 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
     path = scratch_path(documents.sparkSession, "sets")
     texts.mapInArrow(_describe(width), "doc_id bigint, n bigint, d1 bigint, d2 bigint").write.parquet(path)
     docs = documents.sparkSession.read.parquet(path)
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = X.with_small_batches(X.written(texts.filter("doc_id IS NOT NULL").distinct()))  # counted before the shuffle
 
     groups = _groups(texts, width, sim, 0)
     counts = docs.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))

@@ -85,9 +85,9 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int
     return best
 
 
-def _keep_lowest(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (keys, doc), and for each place in that order the lowest doc of its key."""
-    order = np.lexsort((doc, *reversed(keys)))
+def _keep_lowest(keys: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (keys, doc, row), and for each place in that order the lowest doc of its key."""
+    order = np.lexsort((row, doc, *reversed(keys)))
     begin = X.group_starts(*(k[order] for k in keys))
     ordered = doc[order]
     return order, np.repeat(ordered[begin], np.diff(np.append(begin, len(ordered))))
@@ -132,8 +132,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, end, data, offsets in X.slices(batch.column("text")):
             words = X.Words(data, offsets)
             shas = [hashlib.sha256(b" ".join(words.texts(r))).hexdigest() for r in range(end - row)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), X.longs(words.counts), pa.array(shas, pa.string())],
-                                             ["doc_id", "n_words", "full_sha256"])
+            held = batch.slice(row, end - row)
+            yield pa.RecordBatch.from_arrays([held.column("row"), held.column("doc_id"), X.longs(words.counts), pa.array(shas, pa.string())],
+                                             ["row", "doc_id", "n_words", "full_sha256"])
 
 
 def _name_windows(width: int):
@@ -141,6 +142,7 @@ def _name_windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = X.int64_column(batch.column("doc_id"))
+            keys, _ = X.int64_column(batch.column("row"))
             texts, lists = batch.column("text"), batch.column("names")
             if texts.null_count:
                 texts = texts.fill_null("")
@@ -157,16 +159,16 @@ def _name_windows(width: int):
                 starts, owner = starts[pick], owner[pick]
                 h1 = X.signed(X.window_hash(hashes, starts, width, 0))
                 h2 = (X.window_hash(hashes, starts, width, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                doc, at = ids[row:end][owner], (starts - words.first[owner]).astype(np.int32)
-                order, least = _keep_lowest((h1, h2), doc)
-                once = np.zeros(len(order), bool)  # a document that repeats a window sends its first place only
-                once[X.group_starts(h1[order], h2[order], doc[order])] = True
+                doc, key, at = ids[row:end][owner], keys[row:end][owner], (starts - words.first[owner]).astype(np.int32)
+                order, least = _keep_lowest((h1, h2), doc, key)
+                once = np.zeros(len(order), bool)  # a row that repeats a window sends its first place only
+                once[X.group_starts(h1[order], h2[order], doc[order], key[order])] = True
                 order, least = order[once], least[once]
                 ask = order[doc[order] == least]
                 known = order[doc[order] > least]
                 named = lambda at_rows: pa.RecordBatch.from_arrays([
-                    X.longs(h1[at_rows]), pa.array(h2[at_rows], pa.int32()), X.longs(doc[at_rows]), pa.array(at[at_rows], pa.int32())],
-                    ["h1", "h2", "doc_id", "at"])
+                    X.longs(h1[at_rows]), pa.array(h2[at_rows], pa.int32()), X.longs(doc[at_rows]), X.longs(key[at_rows]), pa.array(at[at_rows], pa.int32())],
+                    ["h1", "h2", "doc_id", "row", "at"])
                 yield _rows(named(ask), named(known))
     return run
 
@@ -194,52 +196,58 @@ def _cut(width: int):
                     removed.append(int(cut.sum()))
                     texts.append(b" ".join(w for w, g in zip(words.texts(r), cut, strict=True) if not g))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(row, end - row), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_removed", "kept", "cut_sha256"])
+                    batch.column("row").slice(row, end - row), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["row", "n_removed", "kept", "cut_sha256"])
     return run
 
 
-def repeated_passages(documents: DataFrame, width: int = 13) -> DataFrame:
+def repeated_passages(documents: DataFrame, width: int = 13, row: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of ``documents`` (doc_id, text).
 
     Words are as in ``text``; a word goes if it lies in a window of ``width`` words whose sequence also
     starts in a document with a smaller id, judged on the input. ``kept`` is the rest joined by single
     spaces where something was removed, else null: the text then stays as it is. Null, empty and
-    shorter texts lose nothing. Rows of one doc_id count as one document as sources; equal rows give
-    equal results, and different texts under one id are cut at the union of their places,
-    so ids should be unique. Rows without doc_id lose nothing and are no source. Other
-    columns are ignored; an empty table gives no rows.
+    shorter texts lose nothing. Rows of one doc_id are one document as sources, so they take nothing from
+    each other; each is cut by its own text, and there is a row of the result for each of them. Rows
+    without doc_id lose nothing and are no source. Other columns are ignored; an empty table gives no rows.
+
+    ``row`` names a column of integers that differ from row to row; it is returned too. Without it doc_id
+    serves, or numbers given to the rows of a written copy if ids repeat.
     """
     spark = documents.sparkSession
-    texts = X.with_small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = documents.select((F.col(row) if row else F.col("doc_id")).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                             F.col("text").cast("string").alias("text"))
+    if row is None and not texts.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = X.written(texts.withColumn("row", F.monotonically_increasing_id()))
+    texts = X.with_small_batches(texts)
     # whole copies: the smallest id stands for all
-    marked = texts.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
-    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = settle(marked.join(first, "digest").filter("doc_id > first").select("doc_id", "first"))
-    single = texts.join(X.few(copies.select("doc_id")), "doc_id", "left_anti")
+    marked = texts.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("row", "doc_id", F.unhex(F.md5("text")).alias("digest"))
+    first = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
+    copies = settle(marked.join(first, "digest").filter("doc_id > first.doc_id").select("row", "doc_id", F.col("first.row").alias("first")))
+    single = texts.join(X.few(copies.select("row")), "row", "left_anti").select("row", "doc_id", "text")
 
-    docs = single.mapInArrow(_digests, "doc_id bigint, n_words bigint, full_sha256 string")
+    docs = single.mapInArrow(_digests, "row bigint, doc_id bigint, n_words bigint, full_sha256 string")
 
-    named = single.mapInArrow(_find_anchors(width), "name bigint, doc_id bigint, known bigint")
+    named = single.select("doc_id", "text").mapInArrow(_find_anchors(width), "name bigint, doc_id bigint, known bigint")
     several = F.count("*").over(Window.partitionBy("name", "known")) > 1
     names = named.withColumn("several", several).filter("several OR known IS NOT NULL")
     lists = names.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
 
-    windows = single.join(lists, "doc_id").mapInArrow(_name_windows(width), "h1 bigint, h2 int, doc_id bigint, at int, known bigint")
+    windows = single.join(lists, "doc_id").mapInArrow(_name_windows(width), "h1 bigint, h2 int, doc_id bigint, row bigint, at int, known bigint")
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2", "known"))
     later = windows.withColumn("least", least).filter("least < doc_id OR known IS NOT NULL")
     path = scratch_path(spark, "places")
-    later.groupBy("doc_id").agg(F.collect_set("at").alias("places")).write.parquet(path)
+    later.groupBy("row").agg(F.collect_set("at").alias("places")).write.parquet(path)
     places = spark.read.parquet(path)
-    cut = (single.join(X.few(places.select("doc_id")), "doc_id", "left_semi").join(places, "doc_id")
-           .mapInArrow(_cut(width), "doc_id bigint, n_removed bigint, kept string, cut_sha256 string"))
+    cut = (single.join(X.few(places.select("row")), "row", "left_semi").join(places, "row").select("row", "text", "places")
+           .mapInArrow(_cut(width), "row bigint, n_removed bigint, kept string, cut_sha256 string"))
 
-    done = docs.join(cut, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+    done = docs.join(cut, "row", "left").select(
+        "row", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("cut_sha256", "full_sha256").alias("kept_sha256"), "kept")
     whole = F.col("n_words") >= width
-    copied = copies.join(docs.withColumnRenamed("doc_id", "first").groupBy("first").agg(
-        F.max("n_words").alias("n_words"), F.max("full_sha256").alias("sha")), "first").select(
-        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
+    copied = copies.join(docs.select(F.col("row").alias("first"), "n_words", F.col("full_sha256").alias("sha")), "first").select(
+        "row", "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"), F.when(whole, F.lit("")).alias("kept"))
-    return done.unionByName(copied)
+    both = done.unionByName(copied)
+    return both.withColumnRenamed("row", row) if row else both.drop("row")
