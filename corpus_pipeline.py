@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.cluster import scratch_path
 from tidemark.llm import language_id, line_dedup, ngram_jaccard, packing, substring_dedup
 from tidemark.llm.language_id import remainder
-from tidemark.llm.text import few
+from tidemark.llm.text import few, written
 
 #: Tokens are not expressible in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -43,13 +43,14 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; those of which nothing is left go, the others keep their text."""
-    path = scratch_path(spark, "passages")
-    substring_dedup.repeated_passages(docs).filter("n_removed > 0").select("doc_id", "kept").write.parquet(path)
-    cut = spark.read.parquet(path)
-    ids = few(cut.select("doc_id").distinct())
-    same = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    names, key = docs.columns, "doc_id"
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        key = "__row"  # ids repeat: rows get numbers of their own
+        docs = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    cut = written(substring_dedup.repeated_passages(docs, row=key if key != "doc_id" else None).filter("n_removed > 0").select(key, "kept"))
+    same = docs.join(few(cut.select(key)), key, "left_anti").select(*names)
     changed = docs.drop("text", "n_chars").join(cut.filter("kept <> ''").withColumn("text", F.col("kept")).withColumn(
-        "n_chars", F.length("kept").cast("long")), "doc_id").select(*docs.columns)
+        "n_chars", F.length("kept").cast("long")), key).select(*names)
     return same.unionByName(changed)
 
 
