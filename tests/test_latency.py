@@ -1,14 +1,18 @@
 """Latency records, warm-up, percentiles, throughput and run summaries."""
 
+import json
 import math
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cluster
 from tidemark.operators import latency as L
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import bucket_counts, exact_quantiles
 
 
 def percentile(values, q):
@@ -231,3 +235,41 @@ def test_null_run_has_its_figures(spark):
     rows = {r.engine: r for r in L.run_summary(df, seconds=100, warmup_s=0, runs=[None, "", "a", "b"]).collect()}
     assert set(rows) == {None, "", "a", "b"} and rows["b"].kept_records == 0
     assert all(rows[e].kept_records == rows[e].e2e_ms["count"] == 20 and rows[e].e2e_ms["p50"] == 9.5 for e in (None, "", "a"))
+
+
+SCANS = """
+import sys
+sys.path.insert(0, sys.argv[3])
+from tidemark.cluster import build_session
+from tidemark.operators import latency
+spark = build_session(master="local[2]", conf={
+    "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "2",
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": sys.argv[2], "spark.eventLog.compress": "false"})
+records = spark.read.parquet(sys.argv[1])
+latency.run_summary(records, 4000, 10, **eval(sys.argv[4])).collect()
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("options, scans", [({}, 3), ({"start": 1000.0}, 2)])
+def test_a_summary_scans_its_records_three_times(spark, tmp_path, options, scans):
+    """By the records that tasks have read, from the event log of a session of its own."""
+    rng = random.Random(7)
+    rows = [(f"run{i % 3}", 1000.0 + i, v, v + rng.random()) for i, v in enumerate(skewed_values(rng, 3000))]
+    records(spark, rows).write.parquet(str(tmp_path / "records"))
+    (tmp_path / "events").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", SCANS, str(tmp_path / "records"), str(tmp_path / "events"), root, repr(options)],
+                   check=True, capture_output=True, timeout=300)
+    read = 0
+    for file in (p for p in (tmp_path / "events").rglob("*") if p.is_file() and not p.name.startswith(".")):
+        for line in file.read_text(errors="ignore").splitlines():
+            if '"SparkListenerTaskEnd"' in line:
+                read += json.loads(line)["Task Metrics"]["Input Metrics"]["Records Read"]
+    assert read == scans * 3000
+
+
+def test_bucket_counts_keep_what_is_left_out_apart(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 1.0, False), ("a", float("nan"), True), ("a", None, None), (None, 2.0, True)], "g string, x double, kept boolean")
+    got = {(r['__k0'].g, r.b0 is None): (r.n, r.kept_n, r.lo) for r in bucket_counts(df, "x", ["g"], "kept").collect()}
+    assert got == {("a", False): (1, 1, 1.0), ("a", True): (3, 1, None), (None, False): (1, 1, 2.0)}

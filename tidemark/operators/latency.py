@@ -12,7 +12,7 @@ from tidemark.cluster import join_small, settle, stable
 from tidemark.contract import OUTPUT_TOPIC, QUANTILES
 from tidemark.functions.clock import wall_clock
 from tidemark.functions.rounding import round_columns
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import bucket_counts, exact_quantiles
 
 LATENCIES = ("pipeline_ms", "e2e_ms")
 
@@ -110,21 +110,21 @@ def _buffered(df: DataFrame, col: str, by: list[str]) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, col: str, by: Sequence[str] = ("engine",),
-                        method: str = "histogram") -> DataFrame:
+                        method: str = "histogram", buckets: DataFrame | None = None) -> DataFrame:
     """Per group: count, p50, p95, p99, max, mean; exact, to three decimals.
 
     The bucketed method serves every size. ``method="buffered"`` asks for the built-in
     ``percentile``, which brings the distinct values of a group together in one task: for
-    groups that are known to be small.
+    groups that are known to be small. ``buckets`` spare the first pass (``bucket_counts``).
     """
     by = list(by)
     if method == "buffered":
         return _report(_buffered(df.select(*by, F.col(col).cast("double").alias(col)), col, by), by)
-    return latency_percentiles_scalable(df, col, by, method)
+    return latency_percentiles_scalable(df, col, by, method, buckets=buckets)
 
 
 def latency_percentiles_scalable(df: DataFrame, col: str, by: Sequence[str] = ("engine",), method: str = "histogram",
-                                 accuracy: int = 10_000, **limits: int) -> DataFrame:
+                                 accuracy: int = 10_000, buckets: DataFrame | None = None, **limits: int) -> DataFrame:
     """As ``latency_percentiles``, for groups of any size.
 
     ``method="histogram"`` is exact; ``"approx"`` uses ``percentile_approx`` in one pass:
@@ -132,7 +132,7 @@ def latency_percentiles_scalable(df: DataFrame, col: str, by: Sequence[str] = ("
     """
     by = list(by)
     if method == "histogram":
-        return _report(exact_quantiles(df, col, by, [q for _, q in QUANTILES], **limits), by)
+        return _report(exact_quantiles(df, col, by, [q for _, q in QUANTILES], buckets=buckets, **limits), by)
     if method == "approx":
         x = F.when(~F.isnan(col), F.col(col))
         probs = [q for _, q in QUANTILES]
@@ -142,15 +142,19 @@ def latency_percentiles_scalable(df: DataFrame, col: str, by: Sequence[str] = ("
     raise ValueError(f"method must be 'histogram' or 'approx', not {method!r}")
 
 
+def _with_throughput(counts: DataFrame, seconds: float, warmup_s: float) -> DataFrame:
+    window = max(1e-9, float(seconds) - float(warmup_s))
+    return round_columns(counts.withColumn("throughput_eps", F.col("kept_records") / F.lit(window)),
+                         {"throughput_eps": 1})
+
+
 def throughput(df: DataFrame, seconds: float, warmup_s: float, by: Sequence[str] = ("engine",)) -> DataFrame:
     """Per group: kept and seen records, and kept records per second of the window.
 
     ``df`` carries the boolean ``kept`` of ``tag_phase``.
     """
-    window = max(1e-9, float(seconds) - float(warmup_s))
     counts = df.groupBy(*by).agg(F.count_if(F.col("kept")).alias("kept_records"), F.count("*").alias("seen_records"))
-    return round_columns(counts.withColumn("throughput_eps", F.col("kept_records") / F.lit(window)),
-                         {"throughput_eps": 1})
+    return _with_throughput(counts, seconds, warmup_s)
 
 
 def run_summary(df: DataFrame, seconds: float, warmup_s: float, topic: str = OUTPUT_TOPIC, by: str = "engine",
@@ -158,14 +162,20 @@ def run_summary(df: DataFrame, seconds: float, warmup_s: float, topic: str = OUT
     """One nested summary row per run, from records with latencies.
 
     A run that received nothing is reported only if named in ``runs``. Reads four columns
-    of ``df`` a few times: give it a written table (see ``latency_sink``) rather than
-    undecoded records when there are many.
+    of ``df`` three times: for the start of each run (not with ``start``), for its counts and the buckets of
+    its latencies, and for the rows of the buckets that hold the figures; again only where such a
+    bucket has more than ``quantiles.RANKED_ROW_LIMIT`` rows. Give it a written table (see
+    ``latency_sink``) rather than undecoded records when there are many.
     """
     records = stable(df.select(by, "recv_ts", *LATENCIES), "run-records")
     tagged = tag_phase(records, warmup_s, seconds, start, [by])
-    counts = settle(throughput(tagged, seconds, warmup_s, [by]))
-    kept = unpivot_latencies(tagged.filter("kept"), [by])
-    figures = latency_percentiles(kept, "ms", [by, "metric"])
+    values = unpivot_latencies(tagged, [by, "kept"])
+    buckets = bucket_counts(values, "ms", [by, "metric"], "kept")
+    # each record has one value of either latency: its run's records are those of one of them
+    seen = buckets.filter(F.col("__k1.metric") == LATENCIES[0]).groupBy(F.col(f"__k0.{by}").alias(by)).agg(
+        F.sum("kept_n").alias("kept_records"), F.sum("n").alias("seen_records"))
+    counts = _with_throughput(seen, seconds, warmup_s)
+    figures = latency_percentiles(values.filter("kept"), "ms", [by, "metric"], buckets=buckets)
     stats = F.struct("count", *[name for name, _ in QUANTILES], "max", "mean")
     # One row per run on every side from here on; a null run is a run like the others.
     nested = figures.groupBy(F.col(by).alias("__run")).agg(

@@ -57,28 +57,49 @@ def _holding(buckets: DataFrame, group: list[str], order: str, probs: Sequence[f
     return placed.filter(f"size({_inside(probs)}) > 0")
 
 
+def _keys(by: Sequence[str]) -> list[Column]:
+    """Nulls do not join: a struct around each group column is never null itself."""
+    return [F.struct(F.col(b)).alias(f"__k{i}") for i, b in enumerate(by)]
+
+
+def bucket_counts(df: DataFrame, value: str, by: Sequence[str], kept: str | None = None) -> DataFrame:
+    """First pass of ``exact_quantiles``: rows and extremes per group and bucket, settled.
+
+    Null and NaN values, and rows that the boolean column ``kept`` leaves out, share a null
+    bucket of their group, so that the rows of a group are known from the same pass: ``n``
+    counts rows, ``kept_n`` those of them that are kept.
+    """
+    x = F.col(value).cast("double")
+    stays = F.coalesce(F.col(kept), F.lit(False)) if kept else F.lit(True)
+    rows = df.select(*_keys(by), F.when(stays & ~F.isnan(x), x).alias("x"), stays.alias("stays"))
+    rows = rows.withColumn("b0", F.when(F.col("x").isNotNull(), _first_bucket(F.col("x"))))
+    return settle(rows.groupBy(*[f"__k{i}" for i in range(len(by))], "b0").agg(
+        F.count("*").alias("n"), F.count_if("stays").alias("kept_n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.sum("x").alias("s")))
+
+
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    ranked_rows: int = RANKED_ROW_LIMIT, splits: int = SPLITS) -> DataFrame:
+                    ranked_rows: int = RANKED_ROW_LIMIT, splits: int = SPLITS, buckets: DataFrame | None = None) -> DataFrame:
     """Per group: ``count``, ``max``, ``mean`` and ``q`` (array, in the order of ``probs``).
 
     Linear interpolation at position q*(n-1). Nulls and NaN are left out; a group without
-    values has no row. Runs a few small jobs to size the next pass.
+    values has no row. Runs a few small jobs to size the next pass. ``buckets`` are those of
+    ``bucket_counts`` over the same rows, if they are at hand.
     """
     by = list(by)
     rows = stable(df.select(*by, F.col(value).cast("double").alias("x")).filter(
         F.col("x").isNotNull() & ~F.isnan("x")), "quantile-input")
-    # Nulls do not join: a struct around each group column is never null itself.
+    if buckets is None:
+        buckets = bucket_counts(rows, "x", by)
     keys = [f"__k{i}" for i in range(len(by))]
-    rows = rows.select(*[F.struct(F.col(b)).alias(k) for b, k in zip(by, keys)], "x",
-                       _first_bucket(F.col("x")).alias("b0"))
+    rows = rows.select(*_keys(by), "x", _first_bucket(F.col("x")).alias("b0"))
     group_facts = ["total", "sum", "max"]
     columns = [*keys, *group_facts, "b0", "lo", "hi", "n", "before"]
 
-    buckets = rows.groupBy(*keys, "b0").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                            F.sum("x").alias("s"))
     whole = W.partitionBy(*keys)
-    buckets = buckets.select("*", F.sum("n").over(whole).alias("total"), F.sum("s").over(whole).alias("sum"),
-                             F.max("hi").over(whole).alias("max"), F.lit(0).cast("bigint").alias("before"))
+    buckets = buckets.filter("b0 IS NOT NULL").select(
+        "*", F.sum("n").over(whole).alias("total"), F.sum("s").over(whole).alias("sum"),
+        F.max("hi").over(whole).alias("max"), F.lit(0).cast("bigint").alias("before"))
     found = settle(_holding(buckets, keys, "b0", probs).select(*columns))
     answers, open_ = found.filter(F.col("lo") == F.col("hi")), found.filter(F.col("lo") < F.col("hi"))
 
