@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import amount_with_tax, amount_with_tax_scaled_round, round_nearest
+from tidemark.functions.records import amount_with_tax, amount_with_tax_scaled_round
+from tidemark.functions.rounding import round_nearest
 
 
 def test_round_nearest_is_correct_for_ties_and_near_ties(spark):

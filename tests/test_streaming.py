@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.contract import OUTPUT_EVENT
-from tidemark.functions import decode, fixture_out_ts
+from tidemark.functions.records import decode
 from tidemark.operators import generate, transform
+from tidemark.plans.testbed import fixture_out_ts
 from tidemark.sources.replay import RECORD, replay_stream
 from tidemark.streaming import execute
 from tidemark.streaming.execute import Sink, file_sink, run, run_microbatch, run_realtime

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.contract import OUTPUT_EVENT
-from tidemark.functions import decode, may_be_purchase_intent
+from tidemark.functions.records import decode, may_be_purchase_intent
 from tidemark.operators import transform as T
 
 GOOD = '{"event_id":1,"user_id":42,"event_type":"purchase","country":"es","amount":219.99,"ts":1750684800.123456}'

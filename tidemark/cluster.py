@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 100_000
 JOIN_SALTS = 64
+# Scratch folder of local sessions that name none; paths in it are never reused.
+LOCAL_SCRATCH = os.path.join(tempfile.gettempdir(), "tidemark-scratch")
 
 
 def build_session(app: str = "tidemark", master: str | None = None, realtime: bool = False,
@@ -39,7 +42,7 @@ def build_session(app: str = "tidemark", master: str | None = None, realtime: bo
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a temporary folder of its own.
+    Only a local-mode session without the setting gets one: ``LOCAL_SCRATCH``, on this machine.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
         if named is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="tidemark-")
+            named = LOCAL_SCRATCH
         context.setCheckpointDir(named)
     return named or current
 

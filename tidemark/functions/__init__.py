@@ -1,36 +1 @@
 """Column helpers built from Spark SQL functions only."""
-
-from tidemark.functions.clock import fixture_out_ts, fixture_recv_ts, wall_clock
-from tidemark.functions.records import (
-    amount_with_tax,
-    amount_with_tax_scaled_round,
-    decode,
-    decode_coerced,
-    encode,
-    is_purchase_intent,
-    may_be_purchase_intent,
-    user_key,
-)
-from tidemark.functions.rounding import round_columns, round_nearest
-from tidemark.functions.usage import millicores, percent, pod_memory_mib, used_mb, used_number
-
-__all__ = [
-    "amount_with_tax",
-    "amount_with_tax_scaled_round",
-    "decode",
-    "decode_coerced",
-    "encode",
-    "fixture_out_ts",
-    "fixture_recv_ts",
-    "is_purchase_intent",
-    "may_be_purchase_intent",
-    "millicores",
-    "percent",
-    "pod_memory_mib",
-    "round_columns",
-    "round_nearest",
-    "used_mb",
-    "used_number",
-    "user_key",
-    "wall_clock",
-]

@@ -14,14 +14,3 @@ from pyspark.sql import functions as F
 def wall_clock() -> Column:
     """Epoch seconds as double with millisecond resolution, evaluated per row."""
     return F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("double") / F.lit(1000.0)
-
-
-def fixture_out_ts(ts: str = "ts", event_id: str = "event_id") -> Column:
-    """Deterministic stand-in for the output stamp: 0 to 50 ms after ``ts``."""
-    return F.col(ts) + F.pmod(F.col(event_id) * 7919, F.lit(50000)).cast("double") / F.lit(1000000.0)
-
-
-def fixture_recv_ts(ts: str = "ts", event_id: str = "event_id") -> Column:
-    """Deterministic stand-in for the receive stamp: 2 to 11 ms after the output stamp."""
-    micros = F.pmod(F.col(event_id) * 7919, F.lit(50000)) + 2000 + F.pmod(F.col(event_id) * 31, F.lit(9000))
-    return F.col(ts) + micros.cast("double") / F.lit(1000000.0)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.cluster import scratch_path
-from tidemark.functions.clock import fixture_out_ts, fixture_recv_ts
 from tidemark.operators import latency, transform
 from tidemark.plans import testbed as B
 from tidemark.plans.latency_queries import WARMUP, WHOLE_RUN
+from tidemark.plans.testbed import fixture_out_ts, fixture_recv_ts
 from tidemark.sources import runs
 
 

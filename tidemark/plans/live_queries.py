@@ -9,13 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.cluster import join_small, scratch_path, settle
 from tidemark.contract import INPUT_EVENT, OUTPUT_EVENT, QUANTILES
-from tidemark.functions.clock import fixture_out_ts, fixture_recv_ts
 from tidemark.functions.records import decode
 from tidemark.operators import latency, summaries, transform
 from tidemark.operators.latency import LATENCIES
 from tidemark.plans import testbed as B
 from tidemark.plans.latency_queries import SECONDS, WARMUP
 from tidemark.plans.transform_queries import ORACLES as TRANSFORM_ORACLES
+from tidemark.plans.testbed import fixture_out_ts, fixture_recv_ts
 from tidemark.sources import runs
 from tidemark.sources.replay import RECORD, replay_stream
 from tidemark.sources.topic import record_topic, topic_source, topic_stream

@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.cluster import scratch_path
 from tidemark.contract import OUTPUT_EVENT
-from tidemark.functions.clock import fixture_out_ts
 from tidemark.functions.records import decode
 from tidemark.operators import recovery, transform
 from tidemark.plans import testbed as B
 from tidemark.plans.transform_queries import ORACLES as TRANSFORM_ORACLES
+from tidemark.plans.testbed import fixture_out_ts
 from tidemark.sources.replay import RECORD, replay_stream
 from tidemark.streaming.execute import file_sink, run, run_microbatch as start_microbatch
 

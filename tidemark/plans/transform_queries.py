@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.cluster import scratch_path
 from tidemark.contract import AMOUNT_MAX, COUNTRIES, EVENT_TYPES, INPUT_EVENT, OUTPUT_EVENT, USER_COUNT
-from tidemark.functions.clock import fixture_out_ts
 from tidemark.functions.records import decode
 from tidemark.operators import generate, transform
 from tidemark.plans import testbed as B
+from tidemark.plans.testbed import fixture_out_ts
 from tidemark.sources.replay import replay_source as read_replay
 
 _OUTPUT_SQL = f"""event_id, user_id, event_type, upper(country) AS country, amount, {B.TAX_SQL} AS amount_with_tax,
