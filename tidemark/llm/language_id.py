@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as X
 
 ORDER = 4
-SAMPLE_DOCS = 3000
-MAX_LANGUAGES = 64
-MAX_CONTEXTS = 400_000
+#: Bytes on which a language is learnt, about; and on which all are together, where they are many.
+SAMPLE_BYTES, ALL_SAMPLES = 2_000_000, 12_000_000
+#: Languages whose code lengths lie in one table.
+TABLE_LANGUAGES = 16
 UNKNOWN = "und"
 
 _FOLD = X.LOWER.copy()
@@ -65,18 +66,31 @@ class Counts:
     languages: list[str]
 
 
-_BUILT: dict[tuple, Model] = {}
+_BUILT: dict[tuple, Languages] = {}
 
 
-def model_of(counts: Counts) -> Model:
+def model_of(counts: Counts) -> Languages:
     """The model, built once per worker."""
     name = (tuple(counts.languages), len(counts.keys), int(counts.counts.sum()), int(counts.keys.sum()))
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Model(counts.keys, counts.language, counts.counts, counts.languages)
+        _BUILT[name] = Languages(counts)
     return _BUILT[name]
 
 
+class Languages:
+    """Models of a few languages each, side by side."""
+
+    def __init__(self, counts: Counts):
+        self.languages, self.models = counts.languages, []
+        for first in range(0, len(counts.languages), TABLE_LANGUAGES):
+            own = (counts.language >= first) & (counts.language < first + TABLE_LANGUAGES)
+            self.models.append(Model(counts.keys[own], counts.language[own] - first, counts.counts[own], counts.languages[first:first + TABLE_LANGUAGES]))
+
+    def code(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([m.code(keys) for m in self.models], axis=1)
+
+
 class Model:
     """Code lengths in bits of every known (context, byte), for all languages at once.
 
@@ -130,40 +144,46 @@ class Model:
         return out
 
 
-def _count(languages: list[str]):
-    index = {name: i for i, name in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for row, end, data, offsets in X.slices(batch.column("text")):
-                data, offsets = fold(data, offsets)
-                both = contexts(data, offsets) | np.repeat(lang[row:end], np.diff(offsets)) << 48
-                both, n = np.unique(both, return_counts=True)
-                yield pa.RecordBatch.from_arrays([X.longs(both), X.longs(n)], ["key", "n"])
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang = np.asarray(batch.column("language"))
+        for row, end, data, offsets in X.slices(batch.column("text")):
+            data, offsets = fold(data, offsets)
+            keys, spoken = contexts(data, offsets), np.repeat(lang[row:end], np.diff(offsets))
+            for own in np.unique(spoken):
+                found, n = np.unique(keys[spoken == own], return_counts=True)
+                yield pa.RecordBatch.from_arrays([X.longs(np.full(len(found), own)), X.longs(found), X.longs(n)], ["language", "key", "n"])
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Counts | None:
+def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_samples: int = ALL_SAMPLES) -> Counts | None:
     """Counts from ``labelled`` (doc_id, text, lang), or None if no row has a language and a text.
 
-    A language gives about ``sample_docs`` documents, chosen by hash of the id; the ``MAX_LANGUAGES``
-    most frequent languages and their ``MAX_CONTEXTS`` most frequent contexts are kept, so the model is
-    bounded whatever the table.
+    Every language is learnt from about ``sample_bytes`` bytes of its documents, or from an equal share of
+    ``all_samples`` if there are many languages; documents are chosen by hash of the id and taken whole, those
+    longer than a tenth of the sample only if the language has no others. All contexts of the sample are kept,
+    so totals and escapes are those of the sample and the driver holds at most ``all_samples`` of them, about.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
-    if not languages:
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    size = F.octet_length("text").cast("long")
+    kinds = rows.groupBy("lang").agg(F.count("*").alias("docs")).collect()  # a row per language
+    if not kinds:
         return None
-    share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, sample_docs / sizes[name]))))
-    some = rows.filter(F.col("lang").isin(languages)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    counted = (X.with_small_batches(some).mapInArrow(_count(languages), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-               .orderBy(F.desc("n"), "key").limit(MAX_CONTEXTS).toPandas())
+    limit = max(1000, min(sample_bytes, all_samples // len(kinds)))
+    short, lot = size <= limit // 10, F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    sizes = rows.groupBy("lang").agg(F.sum(F.when(short, size)).alias("short"), F.sum(size).alias("bytes"),
+                                     F.coalesce(F.min(F.when(short, lot)), F.min(lot)).alias("least")).orderBy("lang").collect()
+    languages = [r["lang"] for r in sizes]
+    index = rows.sparkSession.createDataFrame(  # a document of each language at least
+        [(r["lang"], k, max(r["least"] + 1, int(1e6 * min(1.0, limit / max(1, r["short"] or r["bytes"])))), r["short"] is not None) for k, r in enumerate(sizes)],
+        "lang string, language bigint, below bigint, shorts boolean")
+    some = rows.join(F.broadcast(index), "lang").filter(lot < F.col("below")).filter(~F.col("shorts") | short)
+    counted = (X.with_small_batches(some.select("text", "language")).mapInArrow(_count, "language bigint, key bigint, n bigint")
+               .groupBy("language", "key").agg(F.sum("n").alias("n")).toArrow())
     if not len(counted):
         return None
-    key = counted["key"].to_numpy(np.int64)
-    return Counts(key & ((1 << 48) - 1), key >> 48, counted["n"].to_numpy(np.int64), languages)
+    language, key, n = (np.asarray(counted.column(c).combine_chunks()) for c in ("language", "key", "n"))
+    order = np.lexsort((key, language))
+    return Counts(key[order], language[order], n[order], languages)
 
 
 def _predict(model):
