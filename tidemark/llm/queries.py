@@ -75,9 +75,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, a digest of their ids, and whether they decode to its text."""
-    found = sentencepiece_scan.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
-    return found.groupBy("doc_id").agg(F.sum(F.size("ids")).alias("n_pieces"), F.sum(F.xxhash64("place", "ids").cast("decimal(38,0)")).cast("string").alias("ids_digest"),
-                                       F.bool_and("decoded").alias("decoded"))
+    return sentencepiece_scan.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 Method: max-plus parallel scan. The best segmentation is a longest path. A giant text is cut into
 chunks anywhere; a chunk's transfer matrix holds, for each place at its front where a piece may begin
 and each place behind its end where one may stop, the best score between them. Matrices are combined
-by the associative max-plus product, blocks first, then within blocks; this fixes where every chunk
-begins and stops, and each is then traced back on its own.
+by the associative max-plus product, blocks first, then within blocks; this gives the best scores at every
+chunk's front. From these a chunk tells, for each place where it may be left, where it is then entered; these
+maps are composed in the same way from the end on, and each chunk is then traced back on its own. Of equal
+scores the longer last piece counts everywhere, so chunks never show.
 
 Spaces stand for the word mark. Distinct stretches between safe places (no piece crosses them) are
 solved together, a byte position at a time.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.cluster import scratch_path
@@ -29,6 +31,7 @@ BLOCK_CHUNKS = 64
 UNKNOWN_PENALTY = 10.0
 LONG_STRETCH = 256
 _NONE = -np.inf
+_FRONT = np.zeros(1)
 
 
 class Pieces:
@@ -91,14 +94,14 @@ class Pieces:
         """Bytes of the character that a byte leads; 0 inside a character."""
         return np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4)
 
-    def paths(self, data: np.ndarray, start: int, stop: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def paths(self, data: np.ndarray, start: int, stop: int, limit: int, front: np.ndarray = _FRONT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best scores from ``start`` to every place up to ``limit``, with the last piece and where it begins.
 
-        Only places before ``stop`` begin pieces.
+        Only places before ``stop`` begin pieces. ``front`` are the scores with which the first places are entered.
         """
         n = limit - start
         best, last, back = np.full(n + 1, _NONE), np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
-        best[0] = 0.0
+        best[:len(front)] = front[:n + 1]
         raw = data[start:limit].tobytes()
         for at in range(min(stop - start, n)):
             own = best[at]
@@ -232,6 +235,22 @@ class Pieces:
         return out
 
 
+    def entries(self, data: np.ndarray, stop: int, front: np.ndarray) -> np.ndarray:
+        """For each place at and behind ``stop`` the place where the best path to it enters the chunk; -1 if there is none."""
+        safe = self.stretches(data, np.array([0, len(data)]))
+        near = safe[(safe > 0) & (safe <= stop)]
+        until = int(near[0]) if len(near) else stop
+        _, _, back = self.paths(data, 0, until, until if len(near) else len(data), front)
+        origin = np.arange(len(back))
+        for at in np.flatnonzero(back >= 0):
+            origin[at] = origin[back[at]]
+        origin[(back < 0) & (np.arange(len(back)) >= len(front))] = -1
+        if len(near):  # every path goes through a safe place
+            return np.full(self.longest, origin[until])
+        tail = origin[stop:stop + self.longest]
+        return np.append(tail, np.full(self.longest - len(tail), -1))
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -250,15 +269,19 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
     return matrices[0]
 
 
-def states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
-    """States between the matrices on a best path from ``enter`` to ``leave``, both included."""
-    forward = [np.full(len(matrices[0]), _NONE)]
-    forward[0][enter] = 0.0
-    for m in matrices:
-        forward.append(np.max(forward[-1][:, None] + m, axis=0))
+def fronts(matrices: list[np.ndarray], front: np.ndarray) -> list[np.ndarray]:
+    """Best scores before each matrix, from those before the first."""
+    out = [front]
+    for m in matrices[:-1]:
+        out.append(np.max(out[-1][:, None] + m, axis=0))
+    return out
+
+
+def turns(maps: list[np.ndarray], leave: int) -> list[int]:
+    """Places between the chunks, first to last, if the last chunk is left at ``leave``."""
     path = [leave]
-    for m, f in zip(reversed(matrices), reversed(forward[:-1]), strict=True):
-        path.append(int(np.argmax(f + m[:, path[-1]])))
+    for m in reversed(maps):
+        path.append(int(m[path[-1]]))
     return path[::-1]
 
 
@@ -269,15 +292,15 @@ def normalised(column: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(column), 0), "", pc.binary_join_element_wise("", column, " "))
 
 
-ENCODED = "doc_id bigint, part bigint, place bigint, n_bytes bigint, ids array<int>, decoded boolean"
+ENCODED = "doc_id bigint, giant bigint, part bigint, place bigint, n_bytes bigint, ids array<int>, decoded boolean"
 
 
-def _emit(vocabulary: Pieces, doc_id: pa.Array, part: pa.Array, place: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _emit(vocabulary: Pieces, doc_id: pa.Array, giant: pa.Array, part: pa.Array, place: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     ids, counts, _ = vocabulary.encode(data, offsets)
     edge = np.concatenate([[0], np.cumsum(counts)])
     same = [vocabulary.decode(ids[a:b]) == data[o:p].tobytes() for a, b, o, p in zip(edge, edge[1:], offsets, offsets[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([doc_id, part, place, X.longs(np.diff(offsets)), X.lists_of(pa.array(ids.astype(np.int32), pa.int32()), counts), pa.array(same, pa.bool_())],
-                                      ["doc_id", "part", "place", "n_bytes", "ids", "decoded"])
+    return pa.RecordBatch.from_arrays([doc_id, giant, part, place, X.longs(np.diff(offsets)), X.lists_of(pa.array(ids.astype(np.int32), pa.int32()), counts), pa.array(same, pa.bool_())],
+                                      ["doc_id", "giant", "part", "place", "n_bytes", "ids", "decoded"])
 
 
 def _encode_rows(path: str):
@@ -286,7 +309,7 @@ def _encode_rows(path: str):
         for batch in batches:
             for row, end, data, offsets in X.slices(normalised(batch.column("text"))):
                 zero = X.longs(np.zeros(end - row, np.int64))
-                yield _emit(vocabulary, batch.column("doc_id").slice(row, end - row), zero, zero, data, offsets)
+                yield _emit(vocabulary, batch.column("doc_id").slice(row, end - row), pa.nulls(end - row, pa.int64()), zero, zero, data, offsets)
     return run
 
 
@@ -322,20 +345,60 @@ def _matrices(table: pa.Table, order: str) -> tuple[pa.Table, list[np.ndarray]]:
     return table, [m.reshape(int(len(m) ** 0.5), -1) for m in flat]
 
 
+def _blobs(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
 def _product(table: pa.Table) -> pa.Table:
     table, matrices = _matrices(table, "part")
-    return pa.table({"key": table.column("key")[:1], "block": table.column("block")[:1], "matrix": pa.array([product(matrices).tobytes()], pa.binary())})
+    return pa.table({"key": table.column("key")[:1], "block": table.column("block")[:1], "matrix": _blobs([product(matrices)])})
 
 
-def _between_blocks(table: pa.Table) -> pa.Table:
+def _block_fronts(table: pa.Table) -> pa.Table:
     table, matrices = _matrices(table, "block")
-    path = states(matrices, 0, 0)
-    return pa.table({"key": table.column("key"), "block": table.column("block"), "enter": pa.array(path[:-1], pa.int64()), "leave": pa.array(path[1:], pa.int64())})
+    begin = np.full(len(matrices[0]), _NONE)
+    begin[0] = 0.0
+    return pa.table({"key": table.column("key"), "block": table.column("block"), "front": _blobs(fronts(matrices, begin))})
 
 
-def _within_block(table: pa.Table) -> pa.Table:
+def _chunk_fronts(table: pa.Table) -> pa.Table:
     table, matrices = _matrices(table, "part")
-    path = states(matrices, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
+    begin = np.frombuffer(table.column("front")[0].as_py(), np.float64)
+    return pa.table({"key": table.column("key"), "part": table.column("part"), "block": table.column("block"), "front": _blobs(fronts(matrices, begin))})
+
+
+def _entries(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces_of(path)
+        for batch in batches:
+            found = [vocabulary.entries(np.frombuffer(body, np.uint8), size, np.frombuffer(front, np.float64))
+                     for body, size, front in zip(*(batch.column(c).to_pylist() for c in ("body", "size", "front")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "part", "block")), _blobs(found)], ["key", "part", "block", "map"])
+    return run
+
+
+def _maps(table: pa.Table, order: str) -> tuple[pa.Table, list[np.ndarray]]:
+    table = table.sort_by(order)
+    return table, [np.frombuffer(m, np.int64) for m in table.column("map").to_pylist()]
+
+
+def _composed(table: pa.Table) -> pa.Table:
+    table, maps = _maps(table, "part")
+    whole = maps[-1]
+    for m in maps[-2::-1]:
+        whole = np.where(whole >= 0, m[whole], -1)
+    return pa.table({"key": table.column("key")[:1], "block": table.column("block")[:1], "map": _blobs([whole])})
+
+
+def _between_blocks(table: pa.Table) -> pa.Table:
+    table, maps = _maps(table, "block")
+    path = turns(maps, 0)
+    return pa.table({"key": table.column("key"), "block": table.column("block"), "leave": pa.array(path[1:], pa.int64())})
+
+
+def _within_block(table: pa.Table) -> pa.Table:
+    table, maps = _maps(table, "part")
+    path = turns(maps, table.column("leave")[0].as_py())
     return pa.table({"key": table.column("key"), "part": table.column("part"), "enter": pa.array(path[:-1], pa.int64()), "leave": pa.array(path[1:], pa.int64())})
 
 
@@ -347,18 +410,12 @@ def _encode_chunks(path: str):
             place = pc.add(batch.column("place"), batch.column("enter"))
             for k, body in enumerate(bodies):
                 data = np.frombuffer(body, np.uint8)
-                yield _emit(vocabulary, batch.column("doc_id").slice(k, 1), batch.column("part").slice(k, 1), place.slice(k, 1), data, np.array([0, len(data)]))
+                yield _emit(vocabulary, *(batch.column(c).slice(k, 1) for c in ("doc_id", "key", "part")), place.slice(k, 1), data, np.array([0, len(data)]))
     return run
 
 
-def encode(documents: DataFrame, vocabulary: str, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Ids of each row of ``documents`` (doc_id, text): one row per text, or per chunk of a giant one.
-
-    ``part`` numbers the chunks, ``place`` is the first byte of ``ids`` in the normalised text, ``n_bytes``
-    their bytes, ``decoded`` whether decoding them gives these bytes back. The segmentation has the
-    greatest total score, whatever the chunks. Null and empty texts have no ids. Repeated rows are
-    encoded each; null ids stay null; other columns are ignored; an empty table gives no rows.
-    """
+def _encoded(documents: DataFrame, vocabulary: str, giant_bytes: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of whole texts, and rows of the chunks of giant ones."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = X.with_small_batches(texts)
@@ -374,11 +431,50 @@ def encode(documents: DataFrame, vocabulary: str, giant_bytes: int = GIANT_BYTES
     (spread.mapInArrow(_transfers(vocabulary), "key bigint, part bigint, matrix binary")
      .withColumn("block", F.expr(f"part div {BLOCK_CHUNKS}")).write.parquet(path))
     matrices = spark.read.parquet(path)
-    blocks = matrices.groupBy("key", "block").applyInArrow(_product, "key bigint, block bigint, matrix binary")
-    between = blocks.groupBy("key").applyInArrow(_between_blocks, "key bigint, block bigint, enter bigint, leave bigint")
-    within = matrices.join(between, ["key", "block"]).groupBy("key", "block").applyInArrow(
-        _within_block, "key bigint, part bigint, enter bigint, leave bigint")
-    return plain.unionByName(chunks.join(within, ["key", "part"]).mapInArrow(_encode_chunks(vocabulary), ENCODED))
+    by = ["key", "block"]
+    blocks = matrices.groupBy(*by).applyInArrow(_product, "key bigint, block bigint, matrix binary")
+    front = blocks.groupBy("key").applyInArrow(_block_fronts, "key bigint, block bigint, front binary")  # a row per block of a text
+    front = matrices.join(front, by).groupBy(*by).applyInArrow(_chunk_fronts, "key bigint, part bigint, block bigint, front binary")
+    maps = X.written(chunks.join(front, ["key", "part"]).mapInArrow(_entries(vocabulary), "key bigint, part bigint, block bigint, map binary"))
+    leaves = maps.groupBy(*by).applyInArrow(_composed, "key bigint, block bigint, map binary").groupBy("key").applyInArrow(
+        _between_blocks, "key bigint, block bigint, leave bigint")
+    within = maps.join(leaves, by).groupBy(*by).applyInArrow(_within_block, "key bigint, part bigint, enter bigint, leave bigint")
+    return plain, chunks.join(within, ["key", "part"]).mapInArrow(_encode_chunks(vocabulary), ENCODED)
+
+
+def encode(documents: DataFrame, vocabulary: str, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Ids of each row of ``documents`` (doc_id, text): one row per text, or per chunk of a giant one.
+
+    ``giant`` numbers the giant texts (null for the others), ``part`` their chunks; ``place`` is the first byte of
+    ``ids`` in the normalised text, ``n_bytes`` their bytes, ``decoded`` whether decoding them gives these bytes
+    back. The segmentation has the greatest total score, whatever the chunks. Null and empty texts have no ids.
+    Repeated rows are encoded each; null ids stay null; other columns are ignored; an empty table gives no rows.
+
+    ``vocabulary`` is read as a unigram model: its pieces and scores. From a merge model's file, whose scores are
+    ranks of merges, the ids are those of the best total of these scores, not those of merging.
+    """
+    plain, chunked = _encoded(documents, vocabulary, giant_bytes, chunk_bytes)
+    return plain.unionByName(chunked)
+
+
+def digest(documents: DataFrame, vocabulary: str, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_pieces, ids_digest, decoded) for each row of ``documents``, as ``encode`` finds the ids.
+
+    The digest joins a hash of every id with its number in the text, so it does not depend on chunks. The chunks
+    of a giant text are numbered in a window of their own: a row per chunk. No ids give 0.
+    """
+    def counted(rows: DataFrame, first) -> DataFrame:
+        marks = F.transform("ids", lambda x, i: F.xxhash64(first + i, x))
+        return rows.withColumn("mark", F.aggregate(marks, F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(m))).withColumn("n", F.size("ids").cast("long"))
+
+    plain, chunked = _encoded(documents, vocabulary, giant_bytes, chunk_bytes)
+    size = F.size("ids").cast("long")
+    first = F.sum(size).over(Window.partitionBy("giant").orderBy("part")) - size
+    whole = counted(plain, F.lit(0).cast("long")).select("doc_id", F.col("n").alias("n_pieces"), "mark", "decoded")
+    giants = counted(chunked.withColumn("first", first), F.col("first")).groupBy("giant").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.bit_xor("mark").alias("mark"), F.bool_and("decoded").alias("decoded"))
+    both = whole.unionByName(giants.drop("giant"))
+    return both.select("doc_id", "n_pieces", F.col("mark").cast("string").alias("ids_digest"), "decoded")
 
 
 def _texts(path: str):
