@@ -203,3 +203,48 @@ def folded(rows: DataFrame, leaf: str, out: str = "folded") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, out])
 
     return X.with_small_batches(rows).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` binary")
+
+
+#: For ids that differ, with the CRC-32 of the id written out.
+ORACLE = r"""
+WITH RECURSIVE
+crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(8)::BIGINT[]), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)))) AS state
+  FROM documents),
+leaves AS (
+  SELECT d.doc_id, source, row_number() OVER (PARTITION BY source ORDER BY d.doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total,
+    sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(shown)::VARCHAR || ':' || shown, '-')) AS shown_leaf
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+          || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+          CASE WHEN xor(state, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown
+        FROM documents JOIN crc USING (doc_id)) d),
+nodes AS (
+  SELECT 0 AS level, source, pos, leaf AS node, total FROM leaves
+  UNION ALL
+  SELECT level + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(total) + 2) // 3
+  FROM nodes WHERE total > 1 GROUP BY level, source, pos // 3),
+subroots AS (SELECT source, node, level AS height, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS pos, count(*) OVER () AS total FROM nodes WHERE total = 1),
+tops AS (
+  SELECT 0 AS level, pos, node, total FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(total) + 2) // 3 FROM tops WHERE total > 1 GROUP BY level, pos // 3),
+steps AS (
+  SELECT doc_id, n.level AS step, n.pos - l.pos // (3 ** n.level)::BIGINT AS side, n.node
+  FROM leaves l JOIN nodes n ON n.source IS NOT DISTINCT FROM l.source AND n.total > 1 AND n.pos // 3 = l.pos // (3 ** (n.level + 1))::BIGINT
+  UNION ALL
+  SELECT doc_id, s.height + t.level, t.pos - s.pos // (3 ** t.level)::BIGINT, t.node
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.total > 1 AND t.pos // 3 = s.pos // (3 ** (t.level + 1))::BIGINT),
+runs AS (
+  SELECT doc_id, step, coalesce(string_agg(node, '' ORDER BY side) FILTER (WHERE side < 0), '') AS before, coalesce(string_agg(node, '' ORDER BY side) FILTER (WHERE side > 0), '') AS behind
+  FROM steps GROUP BY doc_id, step),
+proofs AS (SELECT doc_id, sha256(string_agg(before || behind, '' ORDER BY step)) AS proof_sha256 FROM runs GROUP BY doc_id),
+folds AS (
+  SELECT doc_id, 0 AS step, shown_leaf AS digest FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(before || digest || behind) FROM folds f JOIN runs r ON r.doc_id = f.doc_id AND r.step = f.step)
+SELECT l.doc_id, leaf, s.node AS subroot, t.node AS root, folded_root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root = t.node AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.total = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+JOIN (SELECT doc_id, arg_max(digest, step) AS folded_root FROM folds GROUP BY doc_id) f ON f.doc_id = l.doc_id
+"""

@@ -117,4 +117,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_quality_rules, op4_ngram_jaccard, op5_substring_dedup, op6_language_id,
                                    op7_sentencepiece, op8_embedding_dedup, op9_token_counts, op10_packing, op11_phrase_mining,
                                    op12_prefix_forest, op13_merkle_manifest)}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE,
+           "op13_merkle_manifest": merkle_manifest.ORACLE}
