@@ -5,6 +5,10 @@ parts as its size band may differ by, plus one, so two sets that link hold at le
 common. Documents that share a part meet in a tile. Inside a tile bit counts of hashed bitmaps bound
 the overlap from above, and pairs that pass are settled by exact intersection of sorted arrays.
 
+Linked sets have one part more in common than there are spare ones. So a set may leave out as many parts, if
+all sets choose by one order: small parts go first, then those that hold nothing but shingles which a sample of
+the documents shows to be common. Otherwise a common line would chain documents that have nothing else in common.
+
 Only groups are asked for, so a pair whose ends are already joined is not looked at again, and no
 pairs are emitted: a tile returns a forest.
 """
@@ -26,6 +30,9 @@ TILE_SHINGLES = 1 << 19
 BITS_LIMIT = 1 << 15
 DEALS = 12
 ROUNDS = 5
+#: Documents on which common shingles are counted, how many must hold one, and how many shingles are told to the tasks at most.
+SAMPLE_DOCS, SAMPLE_HOLDERS, COMMON = 10_000, 3, 200_000
+
 
 class Similarity:
     """``num / den`` of the union; sizes fall into bands of that ratio."""
@@ -59,7 +66,7 @@ class Similarity:
             parts = need + spare
             load = lows / parts
             light = parts * np.exp(-load) * np.where(least == 2, 1 + load, 1)
-            spare = np.minimum(1 + np.ceil(light + 3 * np.sqrt(light)).astype(np.int64), need)
+            spare = np.minimum(1 + np.ceil(light + 3 * np.sqrt(light)).astype(np.int64) + need // 8, need)
         spare = np.where(lows < 8, 0, spare)
         return need + spare, spare, least
 
@@ -85,10 +92,15 @@ def shingle_sets(words: X.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return names, np.bincount(rows, minlength=len(words.counts))
 
 
-def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all parts of all rows at both bands that a row's size touches, with their rows."""
+def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity, seed: int = 0, common: X.Table | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the parts of all rows at both bands that a row's size touches, with their rows.
+
+    ``common`` are shingles that many documents hold; parts of nothing else are left out where small parts
+    have not used up what may be left out. Any set of shingles is right, as long as all rows are given the same.
+    """
     if not len(names):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    usual = np.zeros(len(names), bool) if common is None else common.find(names) >= 0
     lows = sim.bands(int(counts.max()))
     parts, spare, least = sim.parts(lows)
     band = np.searchsorted(lows, counts, "right") - 1
@@ -112,9 +124,17 @@ def _part_names(names: np.ndarray, counts: np.ndarray, sim: Similarity, seed: in
             tag = X.mix((slot * 64 + deal).astype(np.uint64) * np.uint64(4099) + level[owner].astype(np.uint64))
             light = np.bincount(cell, minlength=len(total)) < least[level[owner]]
             keep = ~light if deal < DEALS - 1 else np.ones(len(total), bool)
-            out.append(X.mix(total ^ tag)[keep])
+            value = X.mix(total ^ tag)
+            left = np.where(todo, spare[np.maximum(level, 0)], 0) - np.bincount(owner[light], minlength=len(counts))
+            dull = np.flatnonzero(~light & (np.bincount(cell, ~usual[held], minlength=len(total)) == 0) & (left[owner] > 0))
+            if len(dull):  # of each row the largest names go first
+                dull = dull[np.lexsort((~value[dull], owner[dull]))]
+                begin = X.group_starts(owner[dull])
+                place = np.arange(len(dull)) - np.repeat(begin, np.diff(np.append(begin, len(dull))))
+                keep[dull[place < left[owner[dull]]]] = False
+            out.append(value[keep])
             owners.append(owner[keep])
-            todo &= np.bincount(owner[light], minlength=len(counts)) > np.where(todo, spare[np.maximum(level, 0)], 0)
+            todo &= left < 0
             if not todo.any():
                 break
     return np.concatenate(out), np.concatenate(owners)
@@ -141,11 +161,30 @@ def _describe(width: int):
     return run
 
 
-def _find_parts(width: int, sim: Similarity, seed: int = 0):
+def _count_shingles(width: int):
+    """Shingles of the documents of each slice, and how many of them hold each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in X.slices(batch.column("text")):
+                names, n = np.unique(shingle_sets(X.Words(X.LOWER[data], offsets), width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([X.longs(names), X.longs(n)], ["name", "n"])
+    return run
+
+
+def common_shingles(texts: DataFrame, total: int, width: int) -> np.ndarray:
+    """Shingles that ``SAMPLE_HOLDERS`` documents of a sample hold, the most common ones; at most ``COMMON``, whatever the table."""
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / max(total, 1))) + 1)
+    counted = some.mapInArrow(_count_shingles(width), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= SAMPLE_HOLDERS).orderBy(F.desc("n"), "name").limit(COMMON).select("name").toArrow()
+    return np.asarray(found.column("name").combine_chunks()).view(np.uint64) if len(found) else np.zeros(0, np.uint64)
+
+
+def _find_parts(width: int, sim: Similarity, seed: int, common):
     """Parts of every document. Of the documents of a slice that share a part only the first asks for
     it; the others are tied to it at once (``known``), so a common part sends a row per slice at most.
     With a column ``group`` only documents of one group share parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = X.Table(common.value)
         for batch in batches:
             ids, valid = X.int64_column(batch.column("doc_id"))
             for row, end, data, offsets in X.slices(batch.column("text")):
@@ -157,7 +196,7 @@ def _find_parts(width: int, sim: Similarity, seed: int = 0):
                 order = order[(counts > 0)[order] & valid[row:end][order]]
                 lead = np.zeros(len(own), bool)
                 lead[order[X.group_starts(d1[order], d2[order])]] = True
-                part, owner = _part_names(names[np.repeat(lead, counts)], np.where(lead, counts, 0), sim, seed)
+                part, owner = _part_names(names[np.repeat(lead, counts)], np.where(lead, counts, 0), sim, seed, usual)
                 if "group" in batch.schema.names:
                     part = X.mix(part ^ X.mix(X.int64_column(batch.column("group"))[0][row:end].view(np.uint64))[owner])
                 doc = own[owner]
@@ -259,9 +298,9 @@ def _tile(sim: Similarity):
     return run
 
 
-def _groups(texts: DataFrame, width: int, sim: Similarity, seed: int) -> DataFrame:
+def _groups(texts: DataFrame, width: int, sim: Similarity, seed: int, common) -> DataFrame:
     """(doc_id, group) of the documents that parts in common connect; what links is in one group."""
-    parts = texts.mapInArrow(_find_parts(width, sim, seed), "part bigint, doc_id bigint, known bigint")
+    parts = texts.mapInArrow(_find_parts(width, sim, seed, common), "part bigint, doc_id bigint, known bigint")
     met = parts.withColumn("least", F.min("doc_id").over(Window.partitionBy("part", "known")))
     near = met.select(F.col("doc_id").alias("a"), F.coalesce("known", "least").alias("b")).filter("b < a").distinct()
     return components(near).withColumnsRenamed({"node": "doc_id", "root": "group"})
@@ -291,7 +330,8 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
     if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         texts = X.with_small_batches(X.written(texts.filter("doc_id IS NOT NULL").distinct()))  # counted before the shuffle
 
-    groups = _groups(texts, width, sim, 0)
+    common = documents.sparkSession.sparkContext.broadcast(common_shingles(texts, docs.count(), width))
+    groups = _groups(texts, width, sim, 0, common)
     counts = docs.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = _members(groups, counts)
     for seed in range(1, ROUNDS):
@@ -301,7 +341,7 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 4, den: int
         before = large.count()
         if not before:
             break
-        again = _groups(texts.join(X.few(large), "doc_id"), width, sim, seed)
+        again = _groups(texts.join(X.few(large), "doc_id"), width, sim, seed, common)
         members = X.written(members.filter("chunks = 1").unionByName(_members(again, counts)))
         if members.filter("chunks > 1").count() > 0.9 * before:
             break
