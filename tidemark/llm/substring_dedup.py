@@ -11,6 +11,7 @@ hold; only windows around them are named as a whole, and a second round verifies
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,22 +70,29 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, width: int
 
     A window without one (one or two runs of a word) is its own anchor. Equal windows have equal anchors.
     """
-    best = X.window_hash(hashes, starts, width, 1)
-    if not len(starts):
-        return best
-    for names, begin, stop, lo, hi in _compress(hashes, rows, starts, starts + width - 1, rounds):
-        alive = np.flatnonzero(lo <= hi)
-        lo, hi = lo[alive], hi[alive]
-        rank = (np.minimum(stop - begin, 255).astype(np.uint64) << np.uint64(56)) | (names >> np.uint64(8))
-        top, pick = np.zeros(len(alive), np.uint64), lo
-        for k in range(int((hi - lo).max(initial=-1)) + 1):
-            at = np.minimum(lo + k, hi)
-            pick = np.where(rank[at] > top, at, pick)
-            top = np.maximum(top, rank[at])
-        best[alive] = names[pick]
+    best = np.empty(len(starts), np.uint64)
+    levels = _compress(hashes, rows, starts, starts + width - 1, rounds) if len(starts) else iter(())
+    held, level = np.ones(len(starts), bool), None  # windows that held a symbol so far, and the level before
+    for after in itertools.chain(levels, [None]):
+        still = after[3] <= after[4] if after else np.zeros(len(starts), bool)
+        last = np.flatnonzero(held & ~still)
+        best[last] = _longest(*level, last) if level else X.window_hash(hashes, starts[last], width, 1)
+        held, level = still, after
     return best
 
 
+def _longest(names: np.ndarray, begin: np.ndarray, stop: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Name of the longest symbol of each of these windows; of equally long ones the one of the greatest name."""
+    rank = (np.minimum(stop - begin, 255).astype(np.uint64) << np.uint64(56)) | (names >> np.uint64(8))
+    lo, hi = lo[which], hi[which]
+    top, pick = np.zeros(len(which), np.uint64), lo
+    for k in range(int((hi - lo).max(initial=-1)) + 1):
+        at = np.minimum(lo + k, hi)
+        pick = np.where(rank[at] > top, at, pick)
+        top = np.maximum(top, rank[at])
+    return names[pick]
+
+
 def _keep_lowest(keys: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (keys, doc, row), and for each place in that order the lowest doc of its key."""
     order = np.lexsort((row, doc, *reversed(keys)))
@@ -126,14 +134,19 @@ def _rows(asks: pa.RecordBatch, known: pa.RecordBatch) -> pa.RecordBatch:
     return table.combine_chunks().to_batches()[0] if len(table) else asks.append_column("known", pa.nulls(0, pa.int64()))
 
 
+def _shas(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """SHA-256 of each row's bytes."""
+    view = memoryview(data)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in itertools.pairwise(offsets.tolist())], pa.string())
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each row, and the digest of the row as it is when nothing goes."""
     for batch in batches:
         for row, end, data, offsets in X.slices(batch.column("text")):
             words = X.Words(data, offsets)
-            shas = [hashlib.sha256(b" ".join(words.texts(r))).hexdigest() for r in range(end - row)]
             held = batch.slice(row, end - row)
-            yield pa.RecordBatch.from_arrays([held.column("row"), held.column("doc_id"), X.longs(words.counts), pa.array(shas, pa.string())],
+            yield pa.RecordBatch.from_arrays([held.column("row"), held.column("doc_id"), X.longs(words.counts), _shas(*words.joined())],
                                              ["row", "doc_id", "n_words", "full_sha256"])
 
 
@@ -190,14 +203,11 @@ def _cut(width: int):
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + width, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                texts, removed = [], []
-                for r in range(end - row):
-                    cut = gone[words.first[r]:words.first[r + 1]]
-                    removed.append(int(cut.sum()))
-                    texts.append(b" ".join(w for w, g in zip(words.texts(r), cut, strict=True) if not g))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("row").slice(row, end - row), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["row", "n_removed", "kept", "cut_sha256"])
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+                kept, where = words.joined(~gone)
+                texts = pa.StringArray.from_buffers(len(where) - 1, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(kept))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, end - row), X.longs(removed), texts, _shas(kept, where)],
+                                                 ["row", "n_removed", "kept", "cut_sha256"])
     return run
 
 
@@ -226,7 +236,7 @@ def repeated_passages(documents: DataFrame, width: int = 13, row: str | None = N
     copies = settle(marked.join(first, "digest").filter("doc_id > first.doc_id").select("row", "doc_id", F.col("first.row").alias("first")))
     single = texts.join(X.few(copies.select("row")), "row", "left_anti").select("row", "doc_id", "text")
 
-    docs = single.mapInArrow(_digests, "row bigint, doc_id bigint, n_words bigint, full_sha256 string")
+    docs = X.written(single.mapInArrow(_digests, "row bigint, doc_id bigint, n_words bigint, full_sha256 string"))  # two branches read it
 
     named = single.select("doc_id", "text").mapInArrow(_find_anchors(width), "name bigint, doc_id bigint, known bigint")
     several = F.count("*").over(Window.partitionBy("name", "known")) > 1

@@ -154,10 +154,21 @@ class Words:
         size = np.where(fits, last - self.first[:-1] + 1, 0)
         return ramp(self.first[:-1], size)
 
-    def texts(self, row: int) -> list[bytes]:
-        a, b = self.first[row], self.first[row + 1]
-        raw = self.data
-        return [raw[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True)]
+    def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's words (those of ``keep``) with one space between them: bytes and where rows begin and end."""
+        begin, stop, first = self.starts, self.ends, self.first
+        if keep is not None:
+            begin, stop, first = begin[keep], stop[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+        edge = np.zeros(len(self.data) + 2, np.int8)
+        edge[begin] += 1
+        spaced = np.ones(len(begin), bool)  # the byte behind a word becomes its space, but for a row's last word
+        spaced[first[1:][np.diff(first) > 0] - 1] = False
+        edge[stop + spaced] -= 1
+        held = np.cumsum(edge[:-2], dtype=np.int8).astype(bool)
+        out = self.data.copy()
+        out[stop[spaced]] = 0x20
+        ends = np.concatenate([[0], np.cumsum(stop - begin + spaced)])
+        return out[held], ends[first]
 
 
 def _long_hash(data: np.ndarray) -> np.uint64:
