@@ -225,8 +225,9 @@ def predict(documents: DataFrame, model: Counts | None) -> DataFrame:
 
     Texts without a letter, empty and null ones give ``und`` with score 0, and so does every text if the
     model is None. Equal code lengths go to the language that sorts first. Columns called lang_pred or
-    score must not exist already. Rows are independent of each other; an empty table gives no rows.
+    score are replaced. Rows are independent of each other; an empty table gives no rows.
     """
+    documents = documents.drop("lang_pred", "score")
     held = documents.sparkSession.sparkContext.broadcast(model) if model is not None else None
     kind = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
     return X.with_small_batches(documents).mapInArrow(_predict(held), kind + ", lang_pred string, score double")
