@@ -2,7 +2,9 @@
 
 import json
 import random
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -89,6 +91,34 @@ def test_a_hot_run_is_dealt_over_its_salts(spark, tmp_path):
     assert set(seen) == {8} and spark.read.parquet(str(tmp_path / "t")).count() == 800  # a start per salt, whatever the rows
 
 
+@pytest.mark.parametrize("held_bytes", [1, 1 << 30])
+def test_rows_held_back_until_the_start_is_known_are_not_in_memory(held_bytes):
+    """Only one chunk at a time is there as a frame; the start is told by the last one."""
+    class State:
+        exists, got = False, None
+
+        def update(self, value):
+            self.got = value
+
+    given, most = [], []
+
+    def chunks():
+        for k in range(40):
+            rows = pd.DataFrame({"engine": "a", "event_id": [f"{k}-{i}" for i in range(50)] + [None], "recv_ts": [100.0 + k + i / 50 for i in range(50)] + [139.0 - k],
+                                 "__begins": [False] * 50 + [True]})
+            given.append(weakref.ref(rows))
+            yield rows
+            del rows
+            most.append(sum(r() is not None for r in given))
+
+    state = State()
+    found = pd.concat(measure._phases(["engine", "event_id", "recv_ts"], 10.0, 30.0, held_bytes)(("a", 0), chunks(), state), ignore_index=True)
+    assert state.got == (100.0,) and max(most) <= 2
+    assert list(found.columns) == ["engine", "event_id", "recv_ts", "kept"]
+    assert list(found["event_id"]) == [f"{k}-{i}" for k in range(30) for i in range(50)]
+    assert list(found["kept"]) == [k >= 10 for k in range(30) for _ in range(50)]
+
+
 def test_live_measure_wants_epoch_seconds(spark):
     with pytest.raises(ValueError, match="double"):
         measure.measure_stream(spark.createDataFrame([("a", 1)], "engine string, recv_ts bigint"), 1, 0)

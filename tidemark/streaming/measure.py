@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +17,8 @@ from pyspark.sql import types as T
 from tidemark.operators import summaries
 
 RUN_SALTS = 16
+# Bytes of held back rows that a task keeps in memory; the rest lies in a file of Spark's local folder.
+HELD_BYTES = 1 << 22
 
 
 def _dealt(by: str, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -36,7 +41,7 @@ def _dealt(by: str, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _phases(names: Sequence[str], warmup_s: float, seconds: float):
+def _phases(names: Sequence[str], warmup_s: float, seconds: float, held_bytes: int = HELD_BYTES):
     """Records of one salt of a run to those within its window, with ``kept``; the run's start lies in the state."""
     def tagged(rows: pd.DataFrame, start: float) -> Iterator[pd.DataFrame]:
         since = rows["recv_ts"] - start
@@ -45,21 +50,25 @@ def _phases(names: Sequence[str], warmup_s: float, seconds: float):
             yield rows.loc[inside, list(names)].assign(kept=since[inside] >= warmup_s)
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start = state.get[0] if state.exists else None
-        held = []
-        for rows in chunks:
-            if start is None:
-                held.append(rows)
-            else:
-                yield from tagged(rows, start)
-        if start is None:
-            times = [rows.loc[rows["__begins"].astype(bool), "recv_ts"].min() for rows in held]
-            times = [t for t in times if t == t]
-            if times:
-                start = float(min(times))
+        if state.exists:
+            for rows in chunks:
+                yield from tagged(rows, state.get[0])
+            return
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        with tempfile.SpooledTemporaryFile(held_bytes, dir=folder) as held:
+            start, n = None, 0
+            for rows in chunks:
+                begins = rows["__begins"].astype(bool)
+                first = rows.loc[begins, "recv_ts"].min()
+                if first == first and (start is None or first < start):
+                    start = float(first)
+                pickle.dump(rows.loc[~begins], held, pickle.HIGHEST_PROTOCOL)
+                n += 1
+            if start is not None:
                 state.update((start,))
-                for rows in held:
-                    yield from tagged(rows, start)
+                held.seek(0)
+                for _ in range(n):
+                    yield from tagged(pickle.load(held), start)
     return run
 
 
@@ -73,7 +82,8 @@ def measure_stream(records: DataFrame, seconds: float, warmup_s: float, by: str
 
     A run is dealt over ``salts`` keys, so one that holds all records is measured by as many tasks. Each
     salt has the start in its own state: every Arrow batch tells all salts the earliest time it holds. Only
-    in a run's first batch are rows held back, until its start is known: 1/``salts`` of that batch.
+    in a run's first batch are rows held back, until its start is known: 1/``salts`` of that batch, of which
+    a task has ``HELD_BYTES`` in memory and the rest in a local file.
     """
     # rows that tell of a start carry nothing else, so every column may be null on the way
     fields = [T.StructField(f.name, f.dataType) for f in records.schema]
