@@ -54,3 +54,13 @@ def test_common_shingles_of_a_table(spark):
     texts = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = J.common_shingles(texts, 32, 4)
     assert len(found) == 3 and len(J.common_shingles(texts.limit(0), 0, 4)) == 0
+
+
+def test_sample_grows_with_the_table(spark, monkeypatch):
+    """A line that one document in twenty holds is found in a sample of a twentieth, though a fixed one would hold it once."""
+    monkeypatch.setattr(J, "SAMPLE_DOCS", 20)
+    rows = [(i, "a line that many hold" if i % 20 == 7 else " ".join(f"w{i}x{k}" for k in range(5))) for i in range(4000)]
+    found = J.common_shingles(X.with_small_batches(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)), len(rows), 4)
+    line = b"a line that many hold"
+    names, _ = J.shingle_sets(X.Words(np.frombuffer(line, np.uint8), np.array([0, len(line)])), 4)
+    assert set(names) == set(found)

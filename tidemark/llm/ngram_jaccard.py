@@ -30,8 +30,9 @@ TILE_SHINGLES = 1 << 19
 BITS_LIMIT = 1 << 15
 DEALS = 12
 ROUNDS = 5
-#: Documents on which common shingles are counted, how many must hold one, and how many shingles are told to the tasks at most.
-SAMPLE_DOCS, SAMPLE_HOLDERS, COMMON = 10_000, 3, 200_000
+#: Documents on which common shingles are counted (a table of many gives one of ``SAMPLE_PART``), how many must hold one, and how
+#: many shingles are told to the tasks at most. In a fixed sample a line that chains groups gets rarer as the table grows.
+SAMPLE_DOCS, SAMPLE_PART, SAMPLE_HOLDERS, COMMON = 10_000, 20, 3, 200_000
 
 
 class Similarity:
@@ -173,7 +174,8 @@ def _count_shingles(width: int):
 
 def common_shingles(texts: DataFrame, total: int, width: int) -> np.ndarray:
     """Shingles that ``SAMPLE_HOLDERS`` documents of a sample hold, the most common ones; at most ``COMMON``, whatever the table."""
-    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / max(total, 1))) + 1)
+    share = min(1.0, max(SAMPLE_DOCS, total // SAMPLE_PART) / max(total, 1))
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share) + 1)
     counted = some.mapInArrow(_count_shingles(width), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
     found = counted.filter(F.col("n") >= SAMPLE_HOLDERS).orderBy(F.desc("n"), "name").limit(COMMON).select("name").toArrow()
     return np.asarray(found.column("name").combine_chunks()).view(np.uint64) if len(found) else np.zeros(0, np.uint64)
